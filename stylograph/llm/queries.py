@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import mixing, shared_spans, tokenize
+from stylograph.llm import mixing, sentences, shared_spans, tokenize
 from stylograph.llm.batches import court_texts
 from stylograph.sources.tables import read_table
 
@@ -22,6 +22,12 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return court_texts(read_table(spark, d, "subset"), read_table(spark, d, "subset_disent2"))
 
 
+@query
+def p1_found(spark, d):
+    """field, doc_id, sent_start, sent_end of each sentence unit."""
+    return sentences.split_sentences(_texts(spark, d))
+
+
 @query
 def p3_found(spark, d):
     """field, doc_id, span_start, span_end of each stretch shared with another record."""
