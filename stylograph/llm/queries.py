@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import mixing, sentences, shared_spans, tokenize
+from stylograph.llm import lookalike, mixing, sentences, shared_spans, tokenize
 from stylograph.llm.batches import court_texts
 from stylograph.sources.tables import read_table
 
@@ -40,6 +40,19 @@ def p3_shares(spark, d):
     return shared_spans.shared_shares(_texts(spark, d))
 
 
+@query
+def p5_found(spark, d):
+    """field, doc_id_a, doc_id_b of records that look the same but are stored with different characters."""
+    return lookalike.same_looks(_texts(spark, d))
+
+
+@query
+def p5_forms(spark, d):
+    """The uniform form of each text, as its length and fingerprint."""
+    made = lookalike.uniform_texts(_texts(spark, d), ["field", "doc_id"])
+    return made.select("field", "doc_id", F.length("form").alias("n_chars"), F.md5("form").alias("form_md5"), (F.col("raw") != F.col("looks")).alias("changed")).distinct()
+
+
 @query
 def p6_ids(spark, d):
     """doc_id, ids by byte_bpe_50k."""
