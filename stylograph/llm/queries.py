@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import lookalike, mixing, sentences, shared_spans, tokenize
+from stylograph.llm import languages, lookalike, mixing, sentences, shared_spans, tokenize
 from stylograph.llm.batches import court_texts
 from stylograph.sources.tables import read_table
 
@@ -76,3 +76,25 @@ def p7_mix(spark, d):
 def p7_shares(spark, d):
     """The shares that the mixture reaches."""
     return mixing.shares(p7_mix(spark, d), read_table(spark, d, "mix_targets"))
+
+
+def _languages(spark: SparkSession, d: str) -> languages.Model:
+    return languages.fit(read_table(spark, d, "lang_samples"))
+
+
+@query
+def p8_found(spark, d):
+    """doc_id, seg_start, lang of the stretches of texts with a wrong label or several languages."""
+    return languages.wrong_or_mixed(read_table(spark, d, "documents"), _languages(spark, d))
+
+
+@query
+def p8_segments(spark, d):
+    """Every stretch of every text with its language and confidence."""
+    return languages.segments(read_table(spark, d, "documents").select("doc_id", "text"), _languages(spark, d), ["doc_id"])
+
+
+@query
+def p8_labels(spark, d):
+    """The main language of each text."""
+    return languages.document_labels(read_table(spark, d, "documents"), _languages(spark, d))
