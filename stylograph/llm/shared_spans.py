@@ -1,16 +1,21 @@
 """Long exact spans that stand in more than one record (problem 3).
 
-A window is ``length`` code points. A position is shared if a window over it stands in the same field of another record too, so it
-is enough to find the windows that two records have. Every window is represented by its anchor, the k-gram of least hash in it:
-equal windows have equal anchors at equal places.
+A window is ``length`` code points. A position is shared if a window over it stands in the same field of another record too. Suffix
+automata find those windows: the texts that may share something are cut into reference shards, each shard's automaton knows for every
+substring whether more than one record has it, and the texts are streamed through it for their matching statistics; where these reach
+``length``, a shared window ends. An automaton of the whole corpus would need a pass of every text over every shard, so a text is sent
+only to the shards that can match it. Every window is represented by its anchor, the k-gram of least hash in it: equal windows have
+equal anchors at equal places, and a shard is all stretches of one anchor.
 
 1. Each text gives its anchors, about one in 30 code points. Sorted by hash, those of two records or more are found in one stream.
-2. Only texts with such an anchor go on. Each of their windows that has one gives a row: two independent hashes of 64 bits of its
-   content, and its place. Sorted by these, equal windows of different records meet; nothing is held but rows of one record.
-3. Runs of shared windows are merged by record.
-
-Both streams need memory for the rows of one record only, however many share a window, and no pair of records is ever formed. Rows of
-one anchor are spread by the anchor's place in the window, so that a phrase of a third of all records is no single task.
+2. Only texts with such an anchor go on. The windows of each of their anchors make one stretch, which is sent to the anchor's shard.
+   There equal stretches are one; those of a single record are streamed through the automaton of all of them.
+3. An anchor of more than MOST records, such as a phrase of a third of the corpus, makes no automaton, which would outgrow a task. Its
+   windows go one by one, as two hashes of 64 bits; they are spread by the anchor's place in the window and sorted, so that equal
+   windows of different records meet, and nothing is held but rows of one record. The result is the same.
+4. Runs of shared windows are merged by record.
+
+No pair of records is ever formed.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-#: Consecutive places of an anchor that share a partition key.
+#: Consecutive places of a frequent anchor that share a partition key.
 PLACES = 8
+#: Records that an anchor may have to make an automaton: it has two states at most for each code point of their stretches.
+MOST = 1000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -119,22 +126,27 @@ def anchor_places(text: Hashed, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def windows(text: Hashed, length: int, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, key, hash) of all windows whose anchor is in the sorted array ``shared``."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def windows(text: Hashed, length: int, few: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash of the anchor, place of the anchor, whether it is of many) of all windows whose anchor is in one of the sorted arrays."""
     k = _gram(length)
     width = length - k + 1
-    if text.n < length or not len(shared):
-        return none
+    if text.n < length:
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none, none.astype(bool)
     h = _gram_hashes(text, k)
     first = _slide(np.arange(len(h)), width, lambda a, b: np.where(h[b] < h[a], b, a))
     anchor = h[first]
-    found = np.searchsorted(shared, anchor)
-    found[found == len(shared)] = 0
-    at = np.flatnonzero((shared[found] == anchor) & text.inside(length))
-    place = (first[at] - at) // PLACES
-    key = _mixed(anchor[at] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return at, key, text.stretch(length)[at]
+    is_few, is_many = (_in(anchor, x) for x in (few, many))
+    at = np.flatnonzero((is_few | is_many) & text.inside(length))
+    return at, anchor[at], first[at], is_many[at]
+
+
+def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), bool)
+    found = np.searchsorted(known, x)
+    found[found == len(known)] = 0
+    return known[found] == x
 
 
 def _arrow(x: np.ndarray) -> pa.Array:
@@ -159,92 +171,256 @@ def _anchors(length: int):
     return run
 
 
-def _met(columns: int):
-    """Streams rows sorted by their first ``columns`` columns, then dk; keeps those whose key has two different dk.
+class Met:
+    """Takes rows sorted by their first ``columns`` columns, then dk, batch by batch; gives those whose key has two different dk.
 
-    Rows of a key are held back only while all of them are of one dk, so never more than the rows of one text.
+    Rows of a key are held back only while all of them are of one dk, so never more than the rows of one text; with ``most``, which adds
+    a column that tells keys of more rows than that, also until that is sure.
     """
 
+    def __init__(self, columns: int, most: int | None = None) -> None:
+        self.columns, self.most = columns, most
+        self.held: pa.RecordBatch | None = None
+        self.sure = self.many = False  # of the held rows' key: it has two dk, it has more than ``most`` rows
+
+    def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            return
+        if self.held is not None:
+            batch = pa.Table.from_batches([self.held, batch]).combine_chunks().to_batches()[0]
+        n = batch.num_rows
+        same = np.ones(n - 1, bool)
+        for c in range(self.columns):
+            x = batch.column(c).to_numpy()
+            same &= x[1:] == x[:-1]
+        dk = batch.column(self.columns).to_numpy()
+        group = np.concatenate([[0], np.cumsum(~same)])
+        hit = np.zeros(group[-1] + 1, bool)
+        hit[group[1:][same & (dk[1:] != dk[:-1])]] = True
+        hit[0] |= self.sure
+        size = np.bincount(group)
+        many = size > self.most if self.most is not None else np.ones(len(size), bool)
+        many[0] |= self.many
+        last, out = group[-1], hit[group]
+        self.sure, self.many = bool(hit[last]), bool(many[last])
+        start = n - 1 if self.sure and self.many else int(np.searchsorted(group, last))
+        out[start:] = False
+        yield self._give(batch, out, many[group])
+        self.held = batch.slice(start, n - start)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held is not None and self.sure:
+            n = self.held.num_rows
+            yield self._give(self.held, np.ones(n, bool), np.full(n, self.many))
+
+    def _give(self, batch: pa.RecordBatch, keep: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        out = batch.filter(pa.array(keep))
+        if self.most is None:
+            return out
+        return pa.RecordBatch.from_arrays([*out.columns, pa.array(many[keep])], names=[*out.schema.names, "many"])
+
+
+def _met(columns: int, most: int | None):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        met = False  # whether the held row's key has been seen with another dk already
+        met = Met(columns, most)
         for batch in it:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            n = batch.num_rows
-            same = np.ones(n - 1, bool)
-            for c in range(columns):
-                x = batch.column(c).to_numpy()
-                same &= x[1:] == x[:-1]
-            dk = batch.column(columns).to_numpy()
-            differs = same & (dk[1:] != dk[:-1])
-            group = np.concatenate([[0], np.cumsum(~same)])
-            hit = np.zeros(group[-1] + 1, bool)
-            hit[group[1:][differs]] = True
-            hit[0] |= met
-            last, sure = group[-1], hit[group]
-            met = bool(hit[last])
-            start = n - 1 if met else int(np.searchsorted(group, last))
-            sure[start:] = False
-            yield batch.filter(pa.array(sure))
-            held = batch.slice(start, n - start)
-        if held is not None and met:
-            yield held
+            yield from met.take(batch)
+        yield from met.rest()
 
     return run
 
 
-def _windows(length: int):
-    names = ["key", "w", "dk", "start"]
+class Automaton:
+    """Suffix automaton of several strings, each of one or more records; a state knows the least and the greatest of its records."""
+
+    def __init__(self, strings: dict[str, tuple[int, int]]) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size = [-1], [0]
+        self.low: list[int | None] = [None]
+        self.high: list[int | None] = [None]
+        for text, (low, high) in strings.items():
+            last = 0
+            for c in text:
+                last = self._extend(last, c)
+                if self.low[last] is None:
+                    self.low[last], self.high[last] = low, high
+                else:
+                    self.low[last], self.high[last] = min(self.low[last], low), max(self.high[last], high)
+        for v in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
+            p = self.link[v]
+            if p > 0:
+                self.low[p] = self.low[v] if self.low[p] is None else min(self.low[p], self.low[v])
+                self.high[p] = self.high[v] if self.high[p] is None else max(self.high[p], self.high[v])
+
+    def _state(self, size: int, link: int, out: dict[str, int]) -> int:
+        self.next.append(out)
+        self.link.append(link)
+        self.size.append(size)
+        self.low.append(None)
+        self.high.append(None)
+        return len(self.size) - 1
+
+    def _split(self, p: int, c: str, q: int) -> int:
+        """A state for what is read up to p and c, of which q also holds longer strings."""
+        nxt = self.next
+        copy = self._state(self.size[p] + 1, self.link[q], dict(nxt[q]))
+        while p >= 0 and nxt[p].get(c) == q:
+            nxt[p][c] = copy
+            p = self.link[p]
+        self.link[q] = copy
+        return copy
+
+    def _extend(self, last: int, c: str) -> int:
+        nxt, link, size = self.next, self.link, self.size
+        q = nxt[last].get(c)
+        if q is not None:
+            return q if size[q] == size[last] + 1 else self._split(last, c, q)
+        new = self._state(size[last] + 1, 0, {})
+        p = last
+        while p >= 0 and c not in nxt[p]:
+            nxt[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = nxt[p][c]
+            link[new] = q if size[q] == size[p] + 1 else self._split(p, c, q)
+        return new
+
+    def matched(self, text: str, record: int, length: int) -> list[int]:
+        """Begins of the windows of ``length`` that another record has, from the matching statistics of ``text``."""
+        nxt, link, size, low, high = self.next, self.link, self.size, self.low, self.high
+        v, have, out = 0, 0, []
+        for i, c in enumerate(text, 1):
+            while v and c not in nxt[v]:
+                v = link[v]
+                have = size[v]
+            if c in nxt[v]:
+                v = nxt[v][c]
+                have += 1
+            while v and low[v] == record and high[v] == record:  # no other record has it: a shorter end
+                v = link[v]
+                have = size[v]
+            if have >= length:
+                out.append(i - length)
+        return out
+
+
+def _shard(cells: list[tuple[int, int, str]], length: int) -> Iterator[tuple[int, int, int]]:
+    """(dk, begin, end) of the shared runs of one shard, whose stretches are (dk, place in the text, stretch)."""
+    who: dict[str, tuple[int, int]] = {}
+    for dk, _, text in cells:
+        low, high = who.get(text, (dk, dk))
+        who[text] = min(low, dk), max(high, dk)
+    automaton = Automaton(who) if len(who) > 1 and any(a == b for a, b in who.values()) else None
+    for dk, at, text in cells:
+        low, high = who[text]
+        if low != high:
+            yield dk, at, at + len(text)
+        elif automaton is not None:
+            first = before = None
+            for i in automaton.matched(text, dk, length):
+                if before is None or i > before + 1:
+                    if first is not None:
+                        yield dk, at + first, at + before + length
+                    first = i
+                before = i
+            if first is not None:
+                yield dk, at + first, at + before + length
+
+
+SENT = "fk bigint, key bigint, w bigint, dk bigint, start int, stretch string"
+
+
+def _send(length: int):
+    """For each text the stretches of its anchors, and the windows of its anchors that many records have."""
+    names = ["key", "w", "dk", "start", "stretch"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            keys, texts, hashes = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in pieces(texts):
-                shared = np.unique(hashes.slice(a, b - a).flatten().to_numpy().view(np.uint64))
+                few, many = (np.unique(batch.column(c).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) for c in (2, 3))
                 text = Hashed(texts[a:b])
-                at, key, w = windows(text, length, shared)
+                at, anchor, place, is_many = windows(text, length, few, many)
                 own = np.searchsorted(text.ends, at, side="right")
-                yield pa.RecordBatch.from_arrays([_arrow(key), _arrow(w), pa.array(keys[a:b][own], pa.int64()), pa.array(at - text.begins[own], pa.int32())], names=names)
+                doc, start = keys[a:b][own], at - text.begins[own]
+                w = text.stretch(length)[at[is_many]]
+                offset = ((place - at) // PLACES).astype(np.uint64)
+                key = _mixed(anchor + offset * np.uint64(0xD6E8FEB86659FD93))[is_many]
+                yield pa.RecordBatch.from_arrays([_arrow(key), _arrow(w), pa.array(doc[is_many], pa.int64()), pa.array(start[is_many], pa.int32()), pa.nulls(len(key), pa.string())], names=names)
+                at, anchor, place, own, doc, start = (x[~is_many] for x in (at, anchor, place, own, doc, start))
+                new = np.ones(len(at), bool)
+                new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(at))[: len(first)] - 1
+                cut = [texts[a + o][i : j + length] for o, i, j in zip(own[first].tolist(), start[first].tolist(), start[last].tolist())]
+                zero = np.zeros(len(first), np.int64)
+                yield pa.RecordBatch.from_arrays([_arrow(anchor[first]), _arrow(zero), pa.array(doc[first], pa.int64()), pa.array(start[first], pa.int32()), pa.array(cut, pa.string())], names=names)
 
     return run
 
 
-def _runs(length: int):
-    """Windows as they come, to runs of neighbours within the batch; the rest is merged by record later."""
+RUNS = "dk bigint, a bigint, b bigint"
+
+
+def _match(length: int):
+    """Shards and windows, both in order of their keys, to runs of shared positions."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met(3)
+        shard: list[tuple[int, int, str]] = []
+        now = None
         for batch in it:
-            dk, start = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            order = np.lexsort((start, dk))
-            dk, start = dk[order], start[order]
-            first = np.ones(len(dk), bool)
-            first[1:] = (dk[1:] != dk[:-1]) | (start[1:] > start[:-1] + 1)
-            begin = np.flatnonzero(first)
-            end = np.append(begin[1:], len(dk)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(dk[begin], pa.int64()), pa.array(start[begin], pa.int64()), pa.array(start[end] + length, pa.int64())], names=["dk", "a", "b"])
+            single = pc.is_null(batch.column(5))
+            for out in met.take(batch.filter(single)):
+                yield _runs(out, length)
+            done: list[tuple[int, int, int]] = []
+            rest = batch.filter(pc.invert(single))
+            for fk, key, dk, start, text in zip(*[rest.column(c).to_pylist() for c in (0, 1, 3, 4, 5)], strict=True):
+                if (fk, key) != now:
+                    done.extend(_shard(shard, length))
+                    shard, now = [], (fk, key)
+                shard.append((dk, start, text))
+            yield _rows(done)
+        for out in met.rest():
+            yield _runs(out, length)
+        yield _rows(list(_shard(shard, length)))
 
     return run
 
 
-def shared_spans(texts: DataFrame, length: int = 100) -> DataFrame:
+def _rows(runs: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in runs], pa.int64()) for i in range(3)], names=["dk", "a", "b"])
+
+
+def _runs(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Windows to runs of neighbours, as far as they came together; the rest is merged by record."""
+    dk, start = batch.column(3).to_numpy(), batch.column(4).to_numpy().astype(np.int64)
+    order = np.lexsort((start, dk))
+    dk, start = dk[order], start[order]
+    first = np.ones(len(dk), bool)
+    first[1:] = (dk[1:] != dk[:-1]) | (start[1:] > start[:-1] + 1)
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], len(dk))[: len(begin)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(dk[begin], pa.int64()), pa.array(start[begin], pa.int64()), pa.array(start[end] + length, pa.int64())], names=["dk", "a", "b"])
+
+
+def shared_spans(texts: DataFrame, length: int = 100, most: int = MOST) -> DataFrame:
     """field, doc_id, span_start, span_end: the longest runs of positions that other records of the field share.
 
     ``texts`` has field, doc_id, text; offsets count code points. Repeated rows of one doc_id are one record, whose spans are given
-    once; null and short texts, and rows without doc_id, have none. Spans that differ in a single code point do not match.
+    once; null and short texts, and rows without doc_id, have none. Spans that differ in a single code point do not match. ``most`` bounds
+    the size of a shard, and has no influence on the result.
     """
     rows = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= length))
     keyed = rows.select(F.xxhash64("field", "doc_id").alias("dk"), F.col("text"), F.xxhash64("field").alias("fk"))
     # equal anchors of different fields must not meet: the field's hash is part of the sort key
     by_field = keyed.select("dk", "text", "fk").mapInArrow(_with_field(_anchors(length)), "fk bigint, h bigint, dk bigint")
-    met = by_field.repartition("fk", "h").sortWithinPartitions("fk", "h", "dk").mapInArrow(_met(2), "fk bigint, h bigint, dk bigint")
-    lists = met.groupBy("dk").agg(F.collect_set("h").alias("hs"))  # anchors of one text
-    chosen = keyed.join(lists.hint("shuffle_hash"), "dk").select("dk", "text", "hs", "fk")
-    found = chosen.mapInArrow(_with_field(_windows(length)), "fk bigint, key bigint, w bigint, dk bigint, start int")
-    equal = found.repartition("fk", "key").sortWithinPartitions("fk", "key", "w", "dk").mapInArrow(_met(3), "fk bigint, key bigint, w bigint, dk bigint, start int")
-    runs = equal.select("dk", "start").mapInArrow(_runs(length), "dk bigint, a bigint, b bigint")
+    met = by_field.repartition("fk", "h").sortWithinPartitions("fk", "h", "dk").mapInArrow(_met(2, most), "fk bigint, h bigint, dk bigint, many boolean")
+    few, many = (F.collect_set(F.when(F.col("many") == flag, F.col("h"))).alias(name) for flag, name in ((False, "few"), (True, "many")))
+    lists = met.groupBy("dk").agg(few, many)  # anchors of one text
+    chosen = keyed.join(lists.hint("shuffle_hash"), "dk").select("dk", "text", "few", "many", "fk")
+    sent = chosen.mapInArrow(_with_field(_send(length)), SENT)
+    runs = sent.repartition("fk", "key").sortWithinPartitions("fk", "key", "w", "dk").mapInArrow(_match(length), RUNS)
     merged = runs.groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("r"))  # runs of one text
     spans = merged.mapInArrow(_merge, "dk bigint, span_start bigint, span_end bigint")
     ids = texts.select("field", "doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("dk", F.xxhash64("field", "doc_id"))
