@@ -2,8 +2,8 @@
 
 A text's form is found in three steps: ignorable characters go; width, kinds of blank, ligatures and composition are made uniform;
 then each word is a lattice whose places hold all letters of Latin, Greek and Cyrillic that look the same, and Viterbi takes the
-path that keeps to one script and reads best by that script's letter pairs. A word that could be of several scripts as a whole
-follows the words around it. Every choice hangs only on how the text looks, never on which of the letters were stored; so two texts
+path that keeps to one script and reads best by that script's letter pairs. A word that could be of several scripts as a whole is of
+the text's only script, or of that in which it reads best beside its neighbours. Every choice hangs only on how the text looks, never on which of the letters were stored; so two texts
 have the same form exactly if they look the same.
 """
 
@@ -86,6 +86,8 @@ for _c in range(LIMIT):
     if chr(_c).isalpha():
         _SCRIPT[_c] = 0 if _c < 0x250 else 1 if 0x370 <= _c < 0x400 else 2 if _c >= 0x400 else -1
 SWITCH = -20.0
+#: What a neighbouring word adds for its script, in nats.
+NEAR = 2.0
 
 
 def script_of(c: str) -> int:
@@ -153,21 +155,45 @@ class Former:
             return text
         words = list(WORD.finditer(text))
         spans = [unicodedata.normalize("NFD", w.group()) for w in words]
-        fixed = [self._own_script(w) for w in spans]
-        behind = [-1] * len(words)  # the script of the nearest word before that has one of its own
-        now = -1
-        for i, s in enumerate(fixed):
-            behind[i] = now
-            now = s if s >= 0 else now
-        first = next((s for s in fixed if s >= 0), 0)
+        fixed = [0 if self._in_tag(text, w.start()) else self._own_script(n) for w, n in zip(words, spans, strict=True)]
+        present = sorted({s for s, w in zip(fixed, words, strict=True) if s >= 0 and not self._in_tag(text, w.start())})
+        before, after = self._nearest(fixed), self._nearest(fixed[::-1])[::-1]
         out, at = [], 0
-        for w, nfd, own, before in zip(words, spans, fixed, behind, strict=True):
+        for w, nfd, own, b, a in zip(words, spans, fixed, before, after, strict=True):
             out.append(text[at : w.start()])
-            out.append(self._word(nfd, own if own >= 0 else before if before >= 0 else first))
+            out.append(self._word(nfd, own if own >= 0 else self._choose(nfd, present, b, a)))
             at = w.end()
         out.append(text[at:])
         return "".join(out)
 
+    @staticmethod
+    def _in_tag(text: str, at: int) -> bool:
+        """Whether the word at this place is the name of a tag; those are Latin."""
+        return text[at - 1 : at] == "<" or text[max(0, at - 2) : at] == "</"
+
+    @staticmethod
+    def _nearest(fixed: list[int]) -> list[int]:
+        """For each word the script of the nearest word before it that has one of its own, else -1."""
+        out, now = [], -1
+        for s in fixed:
+            out.append(now)
+            now = s if s >= 0 else now
+        return out
+
+    def _choose(self, word: str, present: list[int], before: int, after: int) -> int:
+        """The script, of those that the text has, in which a word of look-alike letters only reads best; its neighbours' count more."""
+        if len(present) < 2:
+            return present[0] if present else 0
+        best, found = -np.inf, present[0]
+        for s in present:
+            letters = [LOOKS[c][s] if c in LOOKS else c for c in word if not "\u0300" <= c <= "\u036f"]
+            if all(letters):
+                line = [0, *[ord(c) if ord(c) < LIMIT else 0 for c in letters], 0]
+                score = float(self.scores[line[:-1], line[1:]].sum()) + NEAR * ((s == before) + (s == after))
+                if score > best:
+                    best, found = score, s
+        return found
+
     def _own_script(self, word: str) -> int:
         """The script of the letters that look like none of another script: of the most, if they differ; -1 without such."""
         votes = [0, 0, 0]
