@@ -11,7 +11,7 @@ from stylograph.plans.queries import QUERIES, SQL
 
 def rows(df):
     def cell(x):
-        if x is None or x != x or str(x) == "<NA>":
+        if x is None or str(x) in ("<NA>", "NaT", "nan"):
             return ""
         if isinstance(x, float):
             return round(x, 5) + 0.0
