@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,10 +64,16 @@ def extract_after_marker(x: Column | str, markers: Sequence[str] = MARKERS) -> C
 
     The paragraph ends at the first blank line; without one, the text goes on right after the marker.
     """
-    plain = html_to_text(F.replace(_col(x), F.lit("&nbsp;"), F.lit(" ")))
     one_of = "|".join(re.escape(m) for m in markers)
-    found = rf"(?ius)^.*?(?:{one_of})"
-    after = F.when(plain.rlike(found), trim_ws(F.regexp_replace(plain, found, "")))
-    blank = r"(?sU)^.*?\n\s*\n"
-    rest = F.when(after.rlike(blank), F.regexp_replace(after, blank, "")).otherwise(after)
-    return F.nullif(trim_ws(rest), F.lit(""))
+    found, blank = rf"(?ius)^.*?(?:{one_of})", r"(?sU)^.*?\n\s*\n"
+
+    def behind(plain: Column) -> Column:
+        rest = _once(trim_ws(F.regexp_replace(plain, found, "")), lambda after: F.regexp_replace(after, blank, ""))
+        return F.when(plain.rlike(rf"(?iu){one_of}"), F.nullif(trim_ws(rest), F.lit("")))
+
+    return _once(html_to_text(F.replace(_col(x), F.lit("&nbsp;"), F.lit(" "))), behind)
+
+
+def _once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x evaluated once, however often it is used."""
+    return F.transform(F.array(x), use)[0]

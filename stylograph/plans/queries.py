@@ -265,7 +265,7 @@ def pos2_vocab(spark, d):
  SELECT doc_id, name, round(value, 6) AS value FROM fw UNION ALL SELECT doc_id, name, round(value, 6) FROM ch"""
 )
 def feature_matrix(spark, d):
-    made, names = features.matrix(opinions(spark, d), opinion_tokens(spark, d), ("function_words", "char3"))
+    made, names = features.matrix(opinions(spark, d), opinion_tokens(spark, d).persist(), ("function_words", "char3"))
     long = made.select("doc_id", F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("name"), F.col("features").alias("value"))).alias("x"))
     return _rounded(long.select("doc_id", F.col("x.name").alias("name"), F.col("x.value").alias("value")), "value")
 
@@ -273,7 +273,7 @@ def feature_matrix(spark, d):
 @query()
 def feature_matrix_full(spark, d):
     """All 563 features; as one row a document."""
-    made, _ = features.matrix(opinions(spark, d), opinion_tokens(spark, d))
+    made, _ = features.matrix(opinions(spark, d), opinion_tokens(spark, d).persist())
     return made.select("doc_id", "author", F.size("features").alias("n_features"), F.round(F.aggregate("features", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
 
 
@@ -423,7 +423,7 @@ def flagship(spark: SparkSession, d: str, words: int = 30) -> DataFrame:
     freq = features.function_word_freq(toks, common).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "freq"))).alias("m"))
     made = docs.select("doc_id", "author").join(freq, "doc_id", "left")
     vec = F.transform(F.array(*[F.lit(w) for w in common]), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0.0)))
-    return delta.loo_delta(made.select("doc_id", "author", vec.alias("features")), "burrows")
+    return delta.loo_delta(made.select("doc_id", "author", vec.alias("features")).persist(), "burrows")
 
 
 @query()
