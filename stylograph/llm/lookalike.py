@@ -246,7 +246,7 @@ class Former:
 
 
 def uniform_texts(texts: DataFrame, keep: list[str], with_text: bool = True) -> DataFrame:
-    """The columns ``keep``, raw and looks, fingerprints of the text as stored and of its form, blank, and the form itself.
+    """The columns ``keep``, raw and looks, digests of the text as stored and of its form, blank, and the form itself.
 
     The letter pairs are learned from ``texts``. Null texts give no row; blank says that nothing visible is left. Repeated rows stay.
     """

@@ -48,7 +48,7 @@ def p5_found(spark, d):
 
 @query
 def p5_forms(spark, d):
-    """The uniform form of each text, as its length and fingerprint."""
+    """The uniform form of each text, as its length and digest."""
     made = lookalike.uniform_texts(_texts(spark, d), ["field", "doc_id"])
     return made.select("field", "doc_id", F.length("form").alias("n_chars"), F.md5("form").alias("form_md5"), (F.col("raw") != F.col("looks")).alias("changed")).distinct()
 
