@@ -419,11 +419,13 @@ def flagship(spark: SparkSession, d: str, words: int = 30) -> DataFrame:
     """Documents to tokens, the most common words as features, leave-one-out Burrows' Delta by source."""
     docs = read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce("source", F.lit("unknown")).alias("author"))
     toks = annotate.annotate_rules(docs)
-    common = [r["lemma"] for r in toks.where(F.col("upos") != "PUNCT").groupBy("lemma").count().orderBy(F.desc("count"), "lemma").limit(words).collect()]
-    freq = features.function_word_freq(toks, common).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "freq"))).alias("m"))
-    made = docs.select("doc_id", "author").join(freq, "doc_id", "left")
-    vec = F.transform(F.array(*[F.lit(w) for w in common]), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0.0)))
-    return delta.loo_delta(made.select("doc_id", "author", vec.alias("features")).persist(), "burrows")
+    counts = toks.groupBy("doc_id", "lemma", (F.col("upos") == "PUNCT").alias("mark")).agg(F.count(F.lit(1)).alias("n")).persist()  # texts are read once
+    common = [r["lemma"] for r in counts.where(~F.col("mark")).groupBy("lemma").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lemma").limit(words).collect()]
+    columns = [(F.coalesce(F.sum(F.when(F.col("lemma") == w, F.col("n"))), F.lit(0)) / F.sum("n")).alias(f"w{i}") for i, w in enumerate(common)]
+    freq = counts.groupBy("doc_id").agg(*columns)
+    vec = F.array(*[F.coalesce(f"w{i}", F.lit(0.0)) for i in range(len(common))])
+    made = docs.select("doc_id", "author").join(freq, "doc_id", "left").select("doc_id", "author", vec.alias("features"))
+    return delta.loo_delta(made.persist(), "burrows")
 
 
 @query()
