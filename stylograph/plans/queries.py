@@ -11,7 +11,7 @@ from stylograph.functions import text as X
 from stylograph.operators import annotate, classify, curate, delta, evaluate, features, profiles
 from stylograph.operators.lexicon import function_words, word_tags
 from stylograph.plans import data_queries
-from stylograph.sources.tables import read_conllu, read_table
+from stylograph.sources.tables import read_conllu, read_table, read_texts
 from stylograph.schema import ColumnMap
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,8 @@ def _rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 def opinions(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, author, text of each separate opinion; of repeated rows the least values."""
     t = read_table(spark, d, "subset_disent2").select(_present("doc_id").alias("doc_id"), _present("separate_opinion_extracted").alias("text"), X.trim_ws("separate_opinion").alias("author"))
-    return t.where(F.col("doc_id").isNotNull() & F.col("author").isNotNull()).groupBy("doc_id").agg(F.min("author").alias("author"), F.min("text").alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that few and short texts still go to all cores
+    return t.where(F.col("doc_id").isNotNull() & F.col("author").isNotNull()).repartition(n, "doc_id").groupBy("doc_id").agg(F.min("author").alias("author"), F.min("text").alias("text"))
 
 
 def opinion_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -106,18 +107,18 @@ def single_author_filter(spark, d):
 
 @query(f"SELECT doc_id, md5(separate_opinion_extracted) AS extract_md5 FROM ({_EXTRACTED})")
 def extract_after_marker(spark, d):
-    return curate.extract_opinions(curate.single_author(read_table(spark, d, "subset"))).select("doc_id", F.md5("separate_opinion_extracted").alias("extract_md5"))
+    return curate.extract_opinions(curate.single_author(read_texts(spark, d, "subset"))).select("doc_id", F.md5("separate_opinion_extracted").alias("extract_md5"))
 
 
 @query(f"SELECT doc_id FROM ({_SINGLE}) EXCEPT SELECT doc_id FROM ({_EXTRACTED})")
 def lost_docs_setdiff(spark, d):
-    one = curate.single_author(read_table(spark, d, "subset"))
+    one = curate.single_author(read_texts(spark, d, "subset"))
     return curate.lost_keys(one, curate.extract_opinions(one))
 
 
 @query(f"SELECT (SELECT count(*) FROM ({_SINGLE})) AS n_before, (SELECT count(*) FROM ({_EXTRACTED})) AS n_after, (SELECT count(*) FROM (SELECT doc_id FROM ({_SINGLE}) EXCEPT SELECT doc_id FROM ({_EXTRACTED}))) AS n_lost")
 def integrity_report(spark, d):
-    one = curate.single_author(read_table(spark, d, "subset"))
+    one = curate.single_author(read_texts(spark, d, "subset"))
     return curate.integrity_report(one, curate.extract_opinions(one))
 
 
@@ -167,12 +168,12 @@ def author_summary(spark, d):
 
 @query(f"SELECT doc_id, length(c) AS n, md5(c) AS clean_md5 FROM (SELECT doc_id, {_CLEAN('text')} AS c FROM subset)")
 def clean_text(spark, d):
-    return read_table(spark, d, "subset").select("doc_id", X.clean_text("text").alias("c")).select("doc_id", F.length("c").alias("n"), F.md5("c").alias("clean_md5"))
+    return read_texts(spark, d, "subset").select("doc_id", X.clean_text("text").alias("c")).select("doc_id", F.length("c").alias("n"), F.md5("c").alias("clean_md5"))
 
 
 @query(f"SELECT doc_id, length(c) AS n, md5(c) AS text_md5 FROM (SELECT doc_id, {_HTML('text')} AS c FROM subset)")
 def html_to_text(spark, d):
-    return read_table(spark, d, "subset").select("doc_id", X.html_to_text("text").alias("c")).select("doc_id", F.length("c").alias("n"), F.md5("c").alias("text_md5"))
+    return read_texts(spark, d, "subset").select("doc_id", X.html_to_text("text").alias("c")).select("doc_id", F.length("c").alias("n"), F.md5("c").alias("text_md5"))
 
 
 @query(f"{_TOK} SELECT doc_id, sent_id::INT AS sent_id, tok_id::INT AS tok_id, form, lemma, upos FROM tok")
@@ -195,7 +196,7 @@ def conllu_parse(spark, d):
     words = F.filter(F.split("text", " "), lambda w: w.rlike("^[a-zA-Z]+$"))
     rows = F.transform(words, lambda w, i: F.concat_ws("\t", (i + 1).cast("string"), w, F.lit("lemma"), F.lit("X"), F.lit("_"), F.lit("_"), F.lit("0")))
     text = F.concat_ws("\n", F.lit("# sent"), F.lit("1-2\tab\ta\tX\t_\t_"), F.lit("1.1\tab\ta\tX\t_\t_"), F.lit("short\trow"), F.array_join(rows, "\n"), F.lit(""))
-    docs = read_table(spark, d, "documents").where(F.col("text").isNotNull() & (F.size(words) > 0)).select("doc_id", text.alias("conllu"))
+    docs = read_texts(spark, d, "documents").where(F.col("text").isNotNull() & (F.size(words) > 0)).select("doc_id", text.alias("conllu"))
     return read_conllu(docs).select("doc_id", "sent_id", "tok_id", "form", "lemma", "upos")
 
 
@@ -417,7 +418,7 @@ def report_averages(spark, d):
 
 def flagship(spark: SparkSession, d: str, words: int = 30) -> DataFrame:
     """Documents to tokens, the most common words as features, leave-one-out Burrows' Delta by source."""
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce("source", F.lit("unknown")).alias("author"))
+    docs = read_texts(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce("source", F.lit("unknown")).alias("author"))
     toks = annotate.annotate_rules(docs)
     counts = toks.groupBy("doc_id", "lemma", (F.col("upos") == "PUNCT").alias("mark")).agg(F.count(F.lit(1)).alias("n")).persist()  # texts are read once
     common = [r["lemma"] for r in counts.where(~F.col("mark")).groupBy("lemma").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lemma").limit(words).collect()]

@@ -35,3 +35,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
         own = os.path.join(tempfile.gettempdir(), "stylograph-checkpoints")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, over all cores where its files give fewer partitions, as those of one row group do; large inputs stay as they are.
+
+    For work on a row that outweighs moving it once. Filters and column pruning pass through. Only for plain scans: other plans would
+    be run to count their partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stylograph import schema
+from stylograph.session import spread
 
 LFS = "version https://git-lfs"
 
@@ -16,6 +17,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows take much work, over all cores."""
+    return spread(read_table(spark, folder, name))
+
+
 def read_csv(spark: SparkSession, path: str, columns: T.StructType = schema.SUBSET) -> DataFrame:
     """A CSV delivery under an explicit schema: header, quotes doubled, line breaks inside quotes, NA and nothing as null.
 
