@@ -2,8 +2,9 @@
 
 Document-centred disambiguation: whether a stop ends a sentence hangs on what stands before and behind it. A word that the document
 has in lower case elsewhere is an ordinary word, so a capital on it after an abbreviation opens a sentence; one that it has with a
-capital only is a name, and opens none. Where the document is silent the corpus answers: a first pass over all texts counts how
-often each word is in lower case, and how often a stop behind it is followed by a sentence that goes on. Scripts have rules of their
+capital only in mid-sentence is a name, and opens none; one after whose stop its sentences go on is an abbreviation, and one that it
+mostly has without a stop is none. Where the document is silent or contradicts itself the corpus answers: a first pass over all texts
+counts how often each word is in lower case, and how often a stop behind it is followed by a sentence that goes on. Scripts have rules of their
 own: ideographic and Indic stops always end, letters without case need no capital behind the stop, and in scripts without spaces
 between words or stops a space ends the unit.
 """
@@ -11,6 +12,7 @@ between words or stops a space ends the unit.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -42,6 +44,12 @@ NUMBERING = re.compile(r"[\s\0]*[(\[]?(?:\d{1,4}(?:\.\d{1,3})*|[^\W\d_]|[IVXLC]+
 BARE = re.compile(r"[\s\0]*\d{1,3}")
 WORD = re.compile(r"[^\W\d_]+")
 STOPPED = re.compile(r"([^\W\d_]+)\.(?=([\s\0]*)(\S?))")
+#: A stop and the word before it, in text that is turned round, so that the search goes from stop to stop.
+DOTTED = re.compile(r"\.([^\W\d_]+)")
+#: What shows beyond doubt that a sentence goes on behind a stop: a comma or the like, or a word that is no list letter.
+GOING = re.compile(r"[,;:]|[ \xa0]+([^\W\d_])(?![).])")
+#: A capitalised word behind a space; what stands before the space tells whether that is mid-sentence.
+SPACED = re.compile(f"[ \xa0]+([{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper() or c.istitle())}][^\\W\\d_]*)")
 ROMAN = re.compile(r"[IVXLCDM]+$")
 #: Thai, Lao, Myanmar, Khmer.
 UNSPACED = "฀-໿က-႟ក-៿"
@@ -106,6 +114,79 @@ def _is_abbreviation(n, stops, goes_on, closes, least: int):
     return ((stops >= least) & (goes_on >= 0.3 * stops)) | always
 
 
+class Document:
+    """What a document says itself of its words, by their unambiguous occurrences; None where it has none or they contradict each other.
+
+    ``masked`` is its masked text; markup and invisible characters part no words, and accents may be characters of their own.
+    """
+
+    #: Words that are looked up one by one before all capitals in mid-sentence are listed.
+    SINGLY = 16
+
+    def __init__(self, masked: str) -> None:
+        self.masked = masked
+        self.n: Counter | None = None
+        self.stops: Counter | None = None
+        self.names: set[str] | None = None
+        self.asked: dict[str, bool] = {}
+
+    def _words(self) -> Counter:
+        if self.n is None:
+            self.text = unicodedata.normalize("NFC", self.masked.replace("\0", ""))
+            self.n = Counter(WORD.findall(self.text))
+        return self.n
+
+    def common(self, word: str) -> bool | None:
+        """True: it stands in lower case. False: it has its capital in mid-sentence, and is never in lower case."""
+        word = unicodedata.normalize("NFC", word)
+        words = self._words()
+        if word.lower() in words:
+            return True
+        if words[word] < 2:
+            return None  # nowhere but where it is asked of
+        if word not in self.asked and len(self.asked) < self.SINGLY:
+            self.asked[word] = self._named(word)
+        if word in self.asked:
+            return False if self.asked[word] else None
+        if self.names is None:
+            self.names = {x.group(1) for x in SPACED.finditer(self.text) if self._goes_on_to(x.start())}
+        return False if word in self.names else None
+
+    def _named(self, word: str) -> bool:
+        t, at = self.text, 0
+        while (at := t.find(word, at)) >= 0:
+            if not t[at + len(word) : at + len(word) + 1].isalpha() and at and t[at - 1] in " \xa0":
+                i = at - 1
+                while i and t[i - 1] in " \xa0":
+                    i -= 1
+                if self._goes_on_to(i):
+                    return True
+            at += len(word)
+        return False
+
+    def _goes_on_to(self, gap: int) -> bool:
+        c = self.text[gap - 1 : gap]
+        return c == "," or c.islower()
+
+    def short(self, word: str) -> bool | None:
+        """True: sentences go on after its stop, and it has a stop as often as not. False: they never do, and it mostly has no stop."""
+        word = unicodedata.normalize("NFC", word)
+        low, words = word.lower(), self._words()
+        if self.stops is None:
+            self.stops, self.goes_on = Counter(), Counter()
+            t = self.text
+            for x in DOTTED.finditer(t[::-1]):
+                w = x.group(1)[::-1].lower()
+                self.stops[w] += 1
+                tail = GOING.match(t, len(t) - x.start())
+                if tail and (tail.group(1) is None or tail.group(1).islower()):
+                    self.goes_on[w] += 1
+        n, stops, goes_on = sum(words[w] for w in {low, word, low.capitalize(), low.upper()}), self.stops[low], self.goes_on[low]
+        if goes_on and goes_on >= 0.3 * stops and 2 * stops >= n:
+            return True
+        return False if not goes_on and n > 2 * stops else None
+
+
 def _blank(c: str) -> bool:
     return c == "\0" or c.isspace()
 
@@ -118,7 +199,7 @@ class Splitter:
 
     def units(self, text: str, html: bool = False) -> list[tuple[int, int]]:
         m = masked(text, html)
-        self.own: set[str] | None = None
+        self.own = Document(m)
         self.text = m
         out: list[tuple[int, int]] = []
         at = 0
@@ -132,12 +213,8 @@ class Splitter:
 
     def _is_common(self, word: str) -> bool:
         """Whether a capitalised word is an ordinary one: by the document first, then by the corpus."""
-        if self.own is None:
-            self.own = set(WORD.findall(self.text))
-        low = word.lower()
-        if low in self.own or low in self.common:
-            return True
-        return not low.isascii() and unicodedata.normalize("NFKC", low) in self.common
+        said = self.own.common(word)
+        return self._known(word, self.common) if said is None else said
 
     def _block(self, m: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
         pairs = [p.span() for p in PAIRS.finditer(m, a, b)] if HAS_PAIR.search(m, a, b) else []
@@ -269,10 +346,10 @@ class Splitter:
             if kind == "digit" or number and kind != "upper":
                 return False
             if kind == "caseless":
-                return not w[-1].isascii() and len(w) > 1 and w not in self.short
+                return not w[-1].isascii() and len(w) > 1 and not self._is_short(w)
             after, behind = self._word_after(m, at, b)
-            if len(w) < 2 or w in self.short or (behind == "." and len(after) < 3):
-                return self._is_common(after) and len(w) > 1 and len(after) > 1 and w.lower() not in self.short
+            if len(w) < 2 or (w == w.lower() and self._is_short(w)) or (behind == "." and len(after) < 3):
+                return self._is_common(after) and len(w) > 1 and len(after) > 1 and not self._is_short(w)
             return True
         if kind == "digit":
             return not (number or len(w) < 2 or self._is_short(w) or ROMAN.match(w) is not None)
@@ -283,17 +360,25 @@ class Splitter:
         if kind == "other":
             return not (len(w) < 2 or self._is_short(w))
         after, behind = self._word_after(m, at, b)
+        if behind != "." and not w.isupper() and self._is_common(after):
+            return True  # after any word
         if len(w) == 1 or ROMAN.match(w) or self._is_short(w):
             if behind == "." and (len(after) == 1 and after.isupper() or ROMAN.match(after) or self._is_short(after)):
                 return False  # initials, numerals, a chain of abbreviations
-            if len(w) > 1 and w.isupper() and len(after) > 1 and after.isupper() and w.lower() in self.short:
+            if len(w) > 1 and w.isupper() and len(after) > 1 and after.isupper() and self._is_short(w):
                 return False  # all in capitals: the letters tell nothing
             return self._is_common(after)
         return True
 
     def _is_short(self, w: str) -> bool:
-        low = w.lower()
-        return low in self.short or not low.isascii() and unicodedata.normalize("NFKC", low) in self.short
+        """Whether a word before a stop is an abbreviation: by the document first, then by the corpus."""
+        said = self.own.short(w)
+        return self._known(w, self.short) if said is None else said
+
+    @staticmethod
+    def _known(word: str, words: frozenset) -> bool:
+        low = word.lower()
+        return low in words or not low.isascii() and unicodedata.normalize("NFKC", low) in words
 
     def split(self, text: str, html: bool = False) -> list[tuple[int, int]]:
         """Units of a text as (begin, end); offsets in the text as stored."""
