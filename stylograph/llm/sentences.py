@@ -43,19 +43,23 @@ NUMBERING = re.compile(r"[\s\0]*[(\[]?(?:\d{1,4}(?:\.\d{1,3})*|[^\W\d_]|[IVXLC]+
 #: A number that stands alone before its stop, as that of an item within a paragraph.
 BARE = re.compile(r"[\s\0]*\d{1,3}")
 WORD = re.compile(r"[^\W\d_]+")
-STOPPED = re.compile(r"([^\W\d_]+)\.(?=([\s\0]*)(\S?))")
+AFTER = re.compile(r"([\s\0]*)(\S?)")
 #: A stop and the word before it, in text that is turned round, so that the search goes from stop to stop.
 DOTTED = re.compile(r"\.([^\W\d_]+)")
 #: What shows beyond doubt that a sentence goes on behind a stop: a comma or the like, or a word that is no list letter.
 GOING = re.compile(r"[,;:]|[ \xa0]+([^\W\d_])(?![).])")
 #: A capitalised word behind a space; what stands before the space tells whether that is mid-sentence.
-SPACED = re.compile(f"[ \xa0]+([{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper() or c.istitle())}][^\\W\\d_]*)")
+CAPITALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper() or c.istitle())
+SPACED = re.compile(rf"[ \xa0]+([{CAPITALS}][^\W\d_]*)")
+#: The capitalised word behind a stop and whatever marks and blanks.
+OPENED = re.compile(rf"[.!?…‥؟۔][\s.!?…‥{re.escape(CLOSERS + OPENERS)}]*([{CAPITALS}][^\W\d_]*)")
 ROMAN = re.compile(r"[IVXLCDM]+$")
 #: Thai, Lao, Myanmar, Khmer.
 UNSPACED = "฀-໿က-႟ក-៿"
 UNSPACED_GAP = re.compile(rf"(?<=[{UNSPACED}])[\s\0]+(?=[{UNSPACED}])")
 HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
-#: Share of all words from which a word's counts are handed to the tasks: no more than 1 / SHARE words can have it.
+#: Share of all words from which what the corpus says of a word is handed to all tasks: no more than 1 / SHARE words can have it. What
+#: it says of rarer words is joined to the documents that ask.
 SHARE = 2e-6
 FLUSH = 200_000
 
@@ -100,7 +104,9 @@ class Evidence:
 
     def add(self, text: str) -> None:
         self.n.update(WORD.findall(text))
-        for w, gap, nxt in STOPPED.findall(text):
+        for x in DOTTED.finditer(text[::-1]):
+            w = x.group(1)[::-1]
+            gap, nxt = AFTER.match(text, len(text) - x.start()).groups()
             self.stops[w] += 1
             if not nxt or nxt == "\x01" or gap.count("\n") > 1:
                 self.closes[w] += 1
@@ -114,6 +120,21 @@ def _is_abbreviation(n, stops, goes_on, closes, least: int):
     return ((stops >= least) & (goes_on >= 0.3 * stops)) | always
 
 
+def _plain(masked: str) -> str:
+    return unicodedata.normalize("NFC", masked.replace("\0", ""))
+
+
+def asked(masked: str) -> set[str]:
+    """All words on which a boundary of the text may hang, in lower case and in the forms that are looked up: those before a stop, and
+    capitalised ones behind one that the text does not have in lower case. Some of them are not needed in the end."""
+    text = _plain(masked)
+    out = {w[::-1].lower() for w in DOTTED.findall(text[::-1]) if len(w) > 1}
+    behind = {w.lower() for w in OPENED.findall(text)}
+    if behind:
+        out |= behind.difference(WORD.findall(text))
+    return out | {unicodedata.normalize("NFKC", w) for w in out if not w.isascii()}
+
+
 class Document:
     """What a document says itself of its words, by their unambiguous occurrences; None where it has none or they contradict each other.
 
@@ -132,7 +153,7 @@ class Document:
 
     def _words(self) -> Counter:
         if self.n is None:
-            self.text = unicodedata.normalize("NFC", self.masked.replace("\0", ""))
+            self.text = _plain(self.masked)
             self.n = Counter(WORD.findall(self.text))
         return self.n
 
@@ -196,6 +217,7 @@ class Splitter:
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.common, self.short = lexicon.common, lexicon.short
+        self.rare = Lexicon()
 
     def units(self, text: str, html: bool = False) -> list[tuple[int, int]]:
         m = masked(text, html)
@@ -214,7 +236,7 @@ class Splitter:
     def _is_common(self, word: str) -> bool:
         """Whether a capitalised word is an ordinary one: by the document first, then by the corpus."""
         said = self.own.common(word)
-        return self._known(word, self.common) if said is None else said
+        return self._known(word, self.common, self.rare.common) if said is None else said
 
     def _block(self, m: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
         pairs = [p.span() for p in PAIRS.finditer(m, a, b)] if HAS_PAIR.search(m, a, b) else []
@@ -373,16 +395,19 @@ class Splitter:
     def _is_short(self, w: str) -> bool:
         """Whether a word before a stop is an abbreviation: by the document first, then by the corpus."""
         said = self.own.short(w)
-        return self._known(w, self.short) if said is None else said
+        return self._known(w, self.short, self.rare.short) if said is None else said
 
     @staticmethod
-    def _known(word: str, words: frozenset) -> bool:
+    def _known(word: str, words: frozenset, rare: frozenset) -> bool:
         low = word.lower()
-        return low in words or not low.isascii() and unicodedata.normalize("NFKC", low) in words
+        if low in words or low in rare:
+            return True
+        low = low if low.isascii() else unicodedata.normalize("NFKC", low)
+        return low in words or low in rare
 
-    def split(self, text: str, html: bool = False) -> list[tuple[int, int]]:
-        """Units of a text as (begin, end); offsets in the text as stored."""
-        self.source = text
+    def split(self, text: str, html: bool = False, rare: Lexicon = Lexicon()) -> list[tuple[int, int]]:
+        """Units of a text as (begin, end); offsets in the text as stored. ``rare``: what the corpus says besides of words of this text."""
+        self.source, self.rare = text, rare
         return self.units(text, html)
 
 
@@ -408,6 +433,9 @@ def _flush(found: Evidence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["word", *COUNTS])
 
 
+_COUNTED = "word string, " + ", ".join(f"{c} bigint" for c in COUNTS)
+
+
 def word_evidence(texts: DataFrame, html: bool = True) -> DataFrame:
     """word and its COUNTS over all texts; each task adds up its own words before they are shuffled."""
 
@@ -422,39 +450,91 @@ def word_evidence(texts: DataFrame, html: bool = True) -> DataFrame:
                 found = Evidence()
         yield _flush(found)
 
-    parts = texts.select("text").mapInArrow(run, "word string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    parts = texts.select("text").mapInArrow(run, _COUNTED)
     return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
+def _evidence_and_asked(rows: DataFrame) -> DataFrame:
+    """Two kinds of rows from one pass over field, doc_id, text: word and COUNTS of parts of the texts, and field, doc_id and the words
+    that the record asks the corpus about."""
+    schema = f"{_COUNTED}, field string, doc_id string, asked array<string>"
+    kinds = {"field": pa.string(), "doc_id": pa.string(), "asked": pa.list_(pa.string())}
+
+    def counted(found: Evidence) -> pa.RecordBatch:
+        made = _flush(found)
+        return pa.RecordBatch.from_arrays([*made.columns, *[pa.nulls(len(made), k) for k in kinds.values()]], names=[*made.schema.names, *kinds])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Evidence()
+        for batch in it:
+            lists = []
+            for f, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                m = masked(t, True)
+                found.add(m)
+                lists.append(list(asked(m if f.endswith(".text") else masked(t, False))))
+            n = len(lists)
+            empty = [pa.nulls(n, pa.string()), *[pa.nulls(n, pa.int64()) for _ in COUNTS]]
+            yield pa.RecordBatch.from_arrays([*empty, batch.column(0), batch.column(1), pa.array(lists, kinds["asked"])], names=["word", *COUNTS, *kinds])
+            if len(found.n) > FLUSH:
+                yield counted(found)
+                found = Evidence()
+        yield counted(found)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _by_low(counts: DataFrame, share: float) -> DataFrame:
+    """low, common, short, often of each word in lower case; ``often``: it makes at least ``share`` of all words."""
+    n_low = F.sum(F.when(F.col("word") == F.lower("word"), F.col("n")).otherwise(0)).alias("n_low")
+    merged = checkpoint(counts.groupBy(F.lower("word").alias("low")).agg(n_low, *[F.sum(c).alias(c) for c in COUNTS]))  # read several times
+    total = merged.agg(F.sum("n")).first()[0] or 0
+    often = (F.col("n") >= total * share) & (F.col("n") >= 2)
+    return merged.select("low", (F.col("n_low") >= 0.05 * F.col("n")).alias("common"), _is_abbreviation(*map(F.col, COUNTS), 3).alias("short"), often.alias("often"))
+
+
+def _handed_out(words: DataFrame) -> Lexicon:
+    rows = words.where(F.col("often") & (F.col("common") | F.col("short"))).collect()  # at most 1 / share
+    return Lexicon(frozenset(r["low"] for r in rows if r["common"]), frozenset(r["low"] for r in rows if r["short"]))
+
+
 def learn(texts: DataFrame, html: bool = True, share: float = SHARE) -> Lexicon:
     """The corpus lexicon: words that make at least ``share`` of all words, so that no more than 1 / share of them can be handed out."""
-    counts = checkpoint(word_evidence(texts, html))  # read twice, and much smaller than the texts
-    by_low = counts.select(F.lower("word").alias("low"), (F.col("word") == F.lower("word")).alias("is_low"), *COUNTS)
-    merged = by_low.groupBy("low").agg(F.sum(F.when(F.col("is_low"), F.col("n")).otherwise(0)).alias("n_low"), *[F.sum(c).alias(c) for c in COUNTS])
-    size = merged.agg(F.sum("n").alias("total"))
-    often = merged.crossJoin(F.broadcast(size)).where((F.col("n") >= F.col("total") * share) & (F.col("n") >= 2))  # one row
-    common = F.col("n_low") >= 0.05 * F.col("n")
-    short = _is_abbreviation(*map(F.col, COUNTS), 3)
-    rows = often.where(common | short).select("low", common.alias("common"), short.alias("short")).collect()  # at most 1 / share
-    return Lexicon(frozenset(r["low"] for r in rows if r["common"]), frozenset(r["low"] for r in rows if r["short"]))
+    return _handed_out(_by_low(word_evidence(texts, html), share))
+
+
+def _learn_for(rows: DataFrame, share: float = SHARE) -> tuple[Lexicon, DataFrame]:
+    """The lexicon of frequent words, and what the corpus says of the rest: field, doc_id, common, short, the latter two arrays of those
+    words of that kind that the record asks about."""
+    made = checkpoint(_evidence_and_asked(rows))  # read twice, and smaller than the texts
+    words = _by_low(made.where(F.col("word").isNotNull()), share)
+    pairs = made.where(F.col("field").isNotNull()).select("field", "doc_id", F.explode("asked").alias("low"))
+    often = words.where("often").select("low")  # at most 1 / share; without them no word is asked about by many
+    said = pairs.join(F.broadcast(often), "low", "left_anti").join(words.where(~F.col("often") & (F.col("common") | F.col("short"))), "low")
+    return _handed_out(words), said.groupBy("field", "doc_id").agg(*[F.collect_set(F.when(F.col(c), F.col("low"))).alias(c) for c in ("common", "short")])
 
 
 def split_sentences(texts: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """field, doc_id, sent_start, sent_end: the units of each record.
 
     ``texts`` has field, doc_id, text; fields that end in ".text" hold HTML, others plain text. Without a lexicon one is learned from
-    ``texts``. Repeated rows of one doc_id give their units once. Null and empty texts, and such with nothing visible, have none; rows
+    ``texts``, with all words, however rare. Repeated rows of one doc_id give their units once. Null and empty texts, and such with nothing visible, have none; rows
     without doc_id are left out.
     """
     rows = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    shared = texts.sparkSession.sparkContext.broadcast(lexicon or learn(rows))
+    rows = rows.select("field", F.col("doc_id").cast("string").alias("doc_id"), "text")
+    if lexicon is None:
+        lexicon, said = _learn_for(rows)
+        rows = rows.join(said, ["field", "doc_id"], "left")
+    else:
+        rows = rows.select("*", *[F.lit(None).cast("array<string>").alias(c) for c in ("common", "short")])
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(shared.value)
         for batch in it:
             begins, ends, edge = [], [], [0]
-            for f, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for a, b in splitter.split(t, f.endswith(".text")):
+            for f, t, common, short in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4)], strict=True):
+                for a, b in splitter.split(t, f.endswith(".text"), Lexicon(frozenset(common or ()), frozenset(short or ()))):
                     begins.append(a)
                     ends.append(b)
                 edge.append(len(begins))
@@ -462,6 +542,6 @@ def split_sentences(texts: DataFrame, lexicon: Lexicon | None = None) -> DataFra
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (begins, ends)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["field", "doc_id", "a", "b"])
 
-    made = rows.select("field", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "field string, doc_id string, a array<bigint>, b array<bigint>")
+    made = rows.mapInArrow(run, "field string, doc_id string, a array<bigint>, b array<bigint>")
     once = made.groupBy("field", "doc_id").agg(F.min(F.struct("a", "b")).alias("u"))
     return once.select("field", "doc_id", F.explode(F.arrays_zip("u.a", "u.b")).alias("x")).select("field", "doc_id", F.col("x.a").alias("sent_start"), F.col("x.b").alias("sent_end"))

@@ -89,3 +89,26 @@ def test_corpus_evidence_counts_all(spark):
     assert got["zák"] == (12, 12, 12, 0) and got["věta"] == (12, 6, 0, 0) and got["další"] == (6, 6, 0, 6) and got["soud"][0] == len(re.findall(r"\bsoud\b", " ".join(CORPUS)))
     lex = S.learn(df)
     assert "zák" in lex.short and "soud" in lex.common and "věta" not in lex.short and "judr" in lex.short
+
+
+def test_rare_words_of_a_large_corpus_count(spark):
+    """Three occurrences among 2.4 million words settle a boundary of another document."""
+    filler = [("subset.text", f"f{i}", "soud má věc " * 100_000) for i in range(8)]
+    seen = [("subset.text", f"s{i}", "Byla zkr., a pak lumvet.") for i in range(3)]
+    rows = [*filler, *seen, ("subset.text", "short", "Dle zkr. Novák."), ("subset.text", "common", "Dle zkr. Lumvet."), ("x.extracted", "wide", "Dle ｚｋｒ. Novák. Soud")]
+    got = S.split_sentences(spark.createDataFrame(rows, "field string, doc_id string, text string").repartition(4)).where("not doc_id like 'f%'").collect()
+    units = {d: sorted((r.sent_start, r.sent_end) for r in got if r.doc_id == d) for d in ("short", "common", "wide")}
+    assert units == {"short": [(0, 15)], "common": [(0, 8), (9, 16)], "wide": [(0, 15), (16, 20)]}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aAbBč̌Ž1.!?…„“\"() \n<>/p&;ａ\u200b", max_size=40), st.booleans())
+def test_all_words_that_are_looked_up_are_asked_for(text, html):
+    class Seen(frozenset):
+        def __contains__(self, word):
+            looked.add(word)
+            return False
+
+    looked: set[str] = set()
+    S.Splitter(S.Lexicon(Seen(), Seen())).split(text, html)
+    assert {w for w in looked if S.WORD.fullmatch(w)} <= S.asked(S.masked(text, html)) | {""}
