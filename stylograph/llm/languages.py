@@ -61,7 +61,7 @@ def words_of(text: str) -> list[str]:
     """The words of a text; scripts without spaces give their characters."""
     out = WORDS.findall(text)
     if UNSPACED.search(text):
-        out = [x for w in out for x in (w if UNSPACED.match(w) else (w,)) if x.isalpha()]
+        out = [x for w in out for x in (filter(str.isalpha, w) if UNSPACED.match(w) else (w,))]
     return out
 
 

@@ -62,3 +62,8 @@ def test_words_inside_a_sentence_make_no_stretch(samples):
     cs = next(t for lang, t in samples if lang == "cs")
     got = L.Labeller(L.Model(samples)).label([f"Soud uvedl, že „the court held. Was it not?“ má být posouzeno jako návrh stěžovatele. {cs}"])
     assert [g[2] for g in got[0]] == ["cs"]
+
+
+def test_words_beside_scripts_without_spaces_stay():
+    assert L.words_of("法院 ve\u030cc so\0ud ก\u0e33ก\u0e34 a") == ["法", "院", "ve\u030cc", "so\0ud", "ก", "\u0e33", "ก", "a"]
+    assert L.words_of("法 ve\u030cc") == ["法", *L.words_of("ve\u030cc")]
