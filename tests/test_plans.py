@@ -3,6 +3,8 @@ import json
 import pytest
 
 from stylograph import __main__ as cli
+from stylograph.operators import classify
+from stylograph.plans import pipeline
 from stylograph.plans.curation import curate_corpus
 
 
@@ -25,3 +27,26 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads((tmp_path / "o/confusion_matrices.json").read_text())["burrows"]["accuracy"] == 1.0
     with pytest.raises(SystemExit):
         cli.arguments(["run", "--output", "x", "--from-step", "paint"])
+
+
+def _features(spark, n=40):
+    rows = [(f"d{i:02}", "xyz"[i % 3], [float(i % 3 == 0) + i * 0.001, float(i % 3 == 1), 7.0]) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id string, author string, features array<double>")
+
+
+def test_a_refusal_loses_only_its_method(spark, tmp_path, monkeypatch):
+    _features(spark).write.parquet(str(tmp_path / "features"))
+    spark.createDataFrame([("d", "t", "a")], "doc_id string, text string, author string").write.parquet(str(tmp_path / "load"))
+    monkeypatch.setattr(classify, "MAX_TRAIN_BYTES", 100)
+    with pytest.warns(UserWarning, match="no predictions of svm"):
+        p = pipeline.run(spark, None, str(tmp_path), "evaluate", methods=("burrows", "svm", "knn"))
+    assert {r.method: r["count"] for r in p.groupBy("method").count().collect()} == {"burrows": 40, "knn": 40}
+    with pytest.warns(UserWarning), pytest.raises(ValueError, match="no predictions of svm"):
+        pipeline.run(spark, None, str(tmp_path), "evaluate", methods=("svm",))
+
+
+@pytest.mark.parametrize("method", ["svm", "logistic"])
+def test_train_and_score(spark, method):
+    f = _features(spark)
+    got = classify.train_and_score(f.where("doc_id < 'd30'"), f.where("doc_id >= 'd30'"), method).collect()
+    assert len(got) == 10 and all(r.predicted == r.author and r.method == method for r in got)
