@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from stylograph import __main__ as cli
 from stylograph.operators import classify
@@ -50,3 +51,15 @@ def test_train_and_score(spark, method):
     f = _features(spark)
     got = classify.train_and_score(f.where("doc_id < 'd30'"), f.where("doc_id >= 'd30'"), method).collect()
     assert len(got) == 10 and all(r.predicted == r.author and r.method == method for r in got)
+
+
+def test_repeats_and_several_authors(spark, tmp_path):
+    texts = [(f"d{i}", "a že b. " * (3 + i) if i % 2 else "ale on ne! " * (3 + i), "x" if i % 2 else "y") for i in range(8)]
+    more = [("d0", "a že b. Dále a že.", "x"), ("d1", None, "x"), ("d1", " ", "x"), ("d2", "ale on ne! " * 5, "y")]  # another author, two repeats without text, one equal
+    corpus = spark.createDataFrame([(*r, None) for r in more + texts], "doc_id string, separate_opinion_extracted string, separate_opinion string, date_decision date")
+    p = pipeline.run(spark, corpus, str(tmp_path), min_dissents=2, feature_sets=("function_words", "surface"), methods=("burrows", "knn"))
+    keys = sorted({(d, a) for d, _, a in texts} | {("d0", "x")})
+    for m in ("burrows", "knn"):
+        assert sorted((r.doc_id, r.author) for r in p.where(F.col("method") == m).collect()) == keys
+    kept = {(r.doc_id, r.author): r.text for r in spark.read.parquet(str(tmp_path / "load")).collect()}
+    assert len(kept) == 9 and kept["d1", "x"] == texts[1][1] and kept["d0\x1fx", "x"].endswith("Dále a že.")
