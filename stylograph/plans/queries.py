@@ -11,6 +11,7 @@ from stylograph.functions import text as X
 from stylograph.operators import annotate, classify, curate, delta, evaluate, features, profiles
 from stylograph.operators.lexicon import function_words, word_tags
 from stylograph.plans import data_queries
+from stylograph.sources import sinks
 from stylograph.sources.tables import read_conllu, read_table, read_texts
 from stylograph.schema import ColumnMap
 
@@ -192,7 +193,9 @@ def document_view(spark, d):
  FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^[a-zA-Z]+$')) AS k FROM documents))"""
 )
 def conllu_parse(spark, d):
-    """Latin words of the documents written as one CoNLL-U sentence each, with a comment and rows that must be skipped, and read again."""
+    """Latin words of the documents written as one CoNLL-U sentence each, with a comment and rows that must be skipped, and read again.
+
+    Whole texts, with their sentences: ``conllu_round_trip``."""
     words = F.filter(F.split("text", " "), lambda w: w.rlike("^[a-zA-Z]+$"))
     rows = F.transform(words, lambda w, i: F.concat_ws("\t", (i + 1).cast("string"), w, F.lit("lemma"), F.lit("X"), F.lit("_"), F.lit("_"), F.lit("0")))
     text = F.concat_ws("\n", F.lit("# sent"), F.lit("1-2\tab\ta\tX\t_\t_"), F.lit("1.1\tab\ta\tX\t_\t_"), F.lit("short\trow"), F.array_join(rows, "\n"), F.lit(""))
@@ -200,6 +203,13 @@ def conllu_parse(spark, d):
     return read_conllu(docs).select("doc_id", "sent_id", "tok_id", "form", "lemma", "upos")
 
 
+@query(SQL["tokenize"])
+def conllu_round_trip(spark, d):
+    """All tokens of the opinions written as CoNLL-U with their sentences, and read again."""
+    docs = sinks.conllu_texts(annotate.as_documents(opinion_tokens(spark, d)))
+    return read_conllu(docs).select("doc_id", "sent_id", "tok_id", "form", "lemma", "upos")
+
+
 # --- features -------------------------------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Writers of results: feature CSV, confusion JSON, text report."""
+"""Writers of results: feature CSV, CoNLL-U, confusion JSON, text report."""
 
 from __future__ import annotations
 
@@ -14,6 +14,17 @@ def write_feature_csv(features: DataFrame, names: list[str], path: str) -> None:
     wide.write.mode("overwrite").csv(path, header=True)
 
 
+def conllu_texts(documents: DataFrame) -> DataFrame:
+    """doc_id and conllu of ``annotate.as_documents``: all tokens, a blank line behind each sentence; empty fields are '_'."""
+
+    def line(t, i):
+        filled = [F.when(t[c] == "", "_").otherwise(F.coalesce(t[c], F.lit("_"))) for c in ("form", "lemma", "upos", "xpos", "feats")]
+        return F.concat_ws("\t", (i + 1).cast("string"), *filled, *[F.lit("_")] * 4)
+
+    sentences = F.transform("sentences", lambda s: F.concat(F.array_join(F.transform(s, line), "\n"), F.lit("\n\n")))
+    return documents.select("doc_id", F.array_join(sentences, "").alias("conllu"))
+
+
 def write_confusion_json(confusion: DataFrame, path: str) -> None:
     """{method: {labels, matrix, accuracy}}; confusion has method, true, pred, n with zeros filled. Bounded by methods x labels^2."""
     out: dict[str, dict] = {}

@@ -1,6 +1,7 @@
 import pytest
 
 from stylograph.operators import annotate, features
+from stylograph.sources import sinks
 from stylograph.sources.tables import read_conllu, read_csv
 
 
@@ -64,3 +65,12 @@ def test_csv_and_pointer(spark, tmp_path):
     (tmp_path / "b.csv").write_text("version https://git-lfs.github.com/spec/v1\n")
     with pytest.raises(ValueError):
         read_csv(spark, str(tmp_path / "b.csv"))
+
+
+def test_conllu_round_trip(spark):
+    texts = [("d", "Věta # má „prvek“. Ｄａｌší ﬁ věc 12! Право e\u0301. 法院判决 _ ok"), ("e", "."), ("f", None), ("g", "")]
+    tokens = annotate.annotate_rules(spark.createDataFrame(texts, "doc_id string, text string"))
+    want = sorted((r.doc_id, r.sent_id, r.tok_id, r.form, r.lemma, r.upos) for r in tokens.collect())
+    got = read_conllu(sinks.conllu_texts(annotate.as_documents(tokens))).collect()
+    assert sorted((r.doc_id, r.sent_id, r.tok_id, r.form, r.lemma, r.upos) for r in got) == want
+    assert {r[1] for r in want if r[0] == "d"} == {0, 1, 2, 3} and len(want) > 15
