@@ -12,6 +12,8 @@ from stylograph.plans.curation import curate_corpus
 from stylograph.sources import sinks
 from stylograph.sources.tables import read_csv
 
+#: Rows of the summary that are printed.
+SHOWN = 1000
 SETS = ("function_words", "surface", "char3", "pos2")
 
 
@@ -32,6 +34,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     s = commands.add_parser("summary", help="counts by author")
     s.add_argument("--corpus", required=True)
     s.add_argument("--min-dissents", type=int, default=5)
+    s.add_argument("--output", help="folder for the whole table as CSV; without it the first authors are printed")
     return top.parse_args(argv)
 
 
@@ -47,7 +50,14 @@ def main(argv: list[str] | None = None) -> None:
         made.opinions.write.mode("overwrite").parquet(a.output)
         made.report().show()
     elif a.command == "summary":
-        curate.author_summary(curate.load_dissents(_read(spark, a.corpus), a.min_dissents)).orderBy("n_dissents", "author", ascending=[False, True]).show(1000, False)
+        made = curate.author_summary(curate.load_dissents(_read(spark, a.corpus), a.min_dissents)).orderBy("n_dissents", "author", ascending=[False, True])
+        if a.output:
+            made.write.mode("overwrite").csv(a.output, header=True)
+        else:
+            made.show(SHOWN, False)
+            left = made.count() - SHOWN
+            if left > 0:
+                print(f"{left} more authors are not shown; --output writes all")
     else:
         corpus = _read(spark, a.corpus) if a.from_step == "load" else None
         p = pipeline.run(spark, corpus, a.output, a.from_step, a.min_dissents, tuple(a.features), tuple(a.methods))

@@ -63,3 +63,12 @@ def test_repeats_and_several_authors(spark, tmp_path):
         assert sorted((r.doc_id, r.author) for r in p.where(F.col("method") == m).collect()) == keys
     kept = {(r.doc_id, r.author): r.text for r in spark.read.parquet(str(tmp_path / "load")).collect()}
     assert len(kept) == 9 and kept["d1", "x"] == texts[1][1] and kept["d0\x1fx", "x"].endswith("Dále a že.")
+
+
+def test_summary_is_whole(spark, tmp_path, capsys):
+    rows = spark.range(1003).selectExpr("concat('d', id) AS doc_id", "'a b' AS separate_opinion_extracted", "concat('author ', id) AS separate_opinion", "cast(null AS date) AS date_decision")
+    rows.write.parquet(str(tmp_path / "c"))
+    cli.main(["summary", "--corpus", str(tmp_path / "c"), "--min-dissents", "1"])
+    assert "3 more authors are not shown" in capsys.readouterr().out
+    cli.main(["summary", "--corpus", str(tmp_path / "c"), "--min-dissents", "1", "--output", str(tmp_path / "s")])
+    assert spark.read.csv(str(tmp_path / "s"), header=True).count() == 1003
