@@ -3,19 +3,19 @@
 A window is ``length`` code points. A position is shared if a window over it stands in the same field of another record too. Suffix
 automata find those windows: the texts that may share something are cut into reference shards, each shard's automaton knows for every
 substring whether more than one record has it, and the texts are streamed through it for their matching statistics; where these reach
-``length``, a shared window ends. An automaton of the whole corpus would need a pass of every text over every shard, so a text is sent
-only to the shards that can match it. Every window is represented by its anchor, the k-gram of least hash in it: equal windows have
-equal anchors at equal places, and a shard is all stretches of one anchor.
+``length``, a shared window ends. ``broadcast_spans`` does just that with shards of the whole corpus, and so passes every text over every
+shard. ``shared_spans`` sends a text only to the shards that can match it. Every window is represented by its anchor, the k-gram of
+least hash in it: equal windows have equal anchors, and a shard is all stretches of one anchor.
 
 1. Each text gives its anchors, about one in 30 code points. Sorted by hash, those of two records or more are found in one stream.
-2. Only texts with such an anchor go on. The windows of each of their anchors make one stretch, which is sent to the anchor's shard.
+2. Only texts with such an anchor go on. The windows of each of their anchors make stretches, which are sent to the anchor's shard.
    There equal stretches are one; those of a single record are streamed through the automaton of all of them.
-3. An anchor of more than MOST records, such as a phrase of a third of the corpus, makes no automaton, which would outgrow a task. Its
-   windows go one by one, as two hashes of 64 bits; they are spread by the anchor's place in the window and sorted, so that equal
-   windows of different records meet, and nothing is held but rows of one record. The result is the same.
+3. An anchor of very many records, such as a phrase of a third of the corpus, gives a shard for each MOST of them. Such a shard, and one of
+   more than SHARD code points, is split by the whole context: its windows become shards of their own. They are put together
+   where they stand first, so that a second shuffle carries each window once a shard, and met there by their code points.
 4. Runs of shared windows are merged by record.
 
-No pair of records is ever formed.
+Texts are compared by their code points wherever a match is found; hashes only choose the shard. No pair of records is ever formed.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-#: Consecutive places of a frequent anchor that share a partition key.
-PLACES = 8
-#: Records that an anchor may have to make an automaton: it has two states at most for each code point of their stretches.
+#: Records of an anchor that make one shard.
 MOST = 1000
+#: Code points of distinct stretches from which one automaton is made: it has two states at most for each.
+SHARD = 200_000
+#: Windows that are put together before they are shuffled.
+HELD = 50_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -126,19 +128,14 @@ def anchor_places(text: Hashed, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def windows(text: Hashed, length: int, few: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash of the anchor, place of the anchor, whether it is of many) of all windows whose anchor is in one of the sorted arrays."""
+def windows(text: Hashed, length: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash of the anchor) of all windows whose anchor is in the sorted array."""
     k = _gram(length)
-    width = length - k + 1
     if text.n < length:
-        none = np.zeros(0, np.int64)
-        return none, none.view(np.uint64), none, none.astype(bool)
-    h = _gram_hashes(text, k)
-    first = _slide(np.arange(len(h)), width, lambda a, b: np.where(h[b] < h[a], b, a))
-    anchor = h[first]
-    is_few, is_many = (_in(anchor, x) for x in (few, many))
-    at = np.flatnonzero((is_few | is_many) & text.inside(length))
-    return at, anchor[at], first[at], is_many[at]
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    anchor = _slide(_gram_hashes(text, k), length - k + 1, np.minimum)
+    at = np.flatnonzero(_in(anchor, known) & text.inside(length))
+    return at, anchor[at]
 
 
 def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -172,16 +169,18 @@ def _anchors(length: int):
 
 
 class Met:
-    """Takes rows sorted by their first ``columns`` columns, then dk, batch by batch; gives those whose key has two different dk.
+    """Takes rows sorted by their first ``columns`` columns, then the next, the record, batch by batch; gives those whose key has two records.
 
-    Rows of a key are held back only while all of them are of one dk, so never more than the rows of one text; with ``most``, which adds
-    a column that tells keys of more rows than that, also until that is sure.
+    Rows of a key are held back only while all of them are of one record, so never more than the rows of one text; with ``most`` also
+    until it is known whether there are more than so many, and a column ``part`` is added: 0 for keys of no more, else the number, from 1,
+    of the row's ``most`` among them.
     """
 
     def __init__(self, columns: int, most: int | None = None) -> None:
         self.columns, self.most = columns, most
         self.held: pa.RecordBatch | None = None
-        self.sure = self.many = False  # of the held rows' key: it has two dk, it has more than ``most`` rows
+        self.sure = False  # the held rows' key has two records
+        self.before = 0  # rows of that key that have been given
 
     def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
@@ -189,38 +188,41 @@ class Met:
         if self.held is not None:
             batch = pa.Table.from_batches([self.held, batch]).combine_chunks().to_batches()[0]
         n = batch.num_rows
+        changed = lambda c: pc.not_equal(batch.column(c).slice(1), batch.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False)
         same = np.ones(n - 1, bool)
         for c in range(self.columns):
-            x = batch.column(c).to_numpy()
-            same &= x[1:] == x[:-1]
-        dk = batch.column(self.columns).to_numpy()
+            same &= ~changed(c)
         group = np.concatenate([[0], np.cumsum(~same)])
         hit = np.zeros(group[-1] + 1, bool)
-        hit[group[1:][same & (dk[1:] != dk[:-1])]] = True
+        hit[group[1:][same & changed(self.columns)]] = True
         hit[0] |= self.sure
+        first = np.searchsorted(group, np.arange(group[-1] + 1))
+        place = np.arange(n) - first[group]
+        place[group == 0] += self.before
         size = np.bincount(group)
+        size[0] += self.before
         many = size > self.most if self.most is not None else np.ones(len(size), bool)
-        many[0] |= self.many
         last, out = group[-1], hit[group]
-        self.sure, self.many = bool(hit[last]), bool(many[last])
-        start = n - 1 if self.sure and self.many else int(np.searchsorted(group, last))
+        start = n - 1 if hit[last] and many[last] else int(first[last])
         out[start:] = False
-        yield self._give(batch, out, many[group])
-        self.held = batch.slice(start, n - start)
+        yield self._give(batch, out, place, many[group])
+        self.sure, self.before, self.held = bool(hit[last]), int(place[start]), batch.slice(start, n - start)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.held is not None and self.sure:
             n = self.held.num_rows
-            yield self._give(self.held, np.ones(n, bool), np.full(n, self.many))
+            many = self.most is None or self.before + n > self.most
+            yield self._give(self.held, np.ones(n, bool), self.before + np.arange(n), np.full(n, many))
 
-    def _give(self, batch: pa.RecordBatch, keep: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    def _give(self, batch: pa.RecordBatch, keep: np.ndarray, place: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
         out = batch.filter(pa.array(keep))
         if self.most is None:
             return out
-        return pa.RecordBatch.from_arrays([*out.columns, pa.array(many[keep])], names=[*out.schema.names, "many"])
+        part = np.where(many, place // max(1, self.most) + 1, 0)[keep]
+        return pa.RecordBatch.from_arrays([*out.columns, pa.array(part, pa.int64())], names=[*out.schema.names, "part"])
 
 
-def _met(columns: int, most: int | None):
+def _met(columns: int, most: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = Met(columns, most)
         for batch in it:
@@ -233,11 +235,11 @@ def _met(columns: int, most: int | None):
 class Automaton:
     """Suffix automaton of several strings, each of one or more records; a state knows the least and the greatest of its records."""
 
-    def __init__(self, strings: dict[str, tuple[int, int]]) -> None:
+    def __init__(self, strings: dict[str, tuple[str, str]]) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.link, self.size = [-1], [0]
-        self.low: list[int | None] = [None]
-        self.high: list[int | None] = [None]
+        self.low: list[str | None] = [None]
+        self.high: list[str | None] = [None]
         for text, (low, high) in strings.items():
             last = 0
             for c in text:
@@ -285,7 +287,7 @@ class Automaton:
             link[new] = q if size[q] == size[p] + 1 else self._split(p, c, q)
         return new
 
-    def matched(self, text: str, record: int, length: int) -> list[int]:
+    def matched(self, text: str, record: str, length: int) -> list[int]:
         """Begins of the windows of ``length`` that another record has, from the matching statistics of ``text``."""
         nxt, link, size, low, high = self.next, self.link, self.size, self.low, self.high
         v, have, out = 0, 0, []
@@ -304,127 +306,271 @@ class Automaton:
         return out
 
 
-def _shard(cells: list[tuple[int, int, str]], length: int) -> Iterator[tuple[int, int, int]]:
-    """(dk, begin, end) of the shared runs of one shard, whose stretches are (dk, place in the text, stretch)."""
-    who: dict[str, tuple[int, int]] = {}
-    for dk, _, text in cells:
-        low, high = who.get(text, (dk, dk))
-        who[text] = min(low, dk), max(high, dk)
-    automaton = Automaton(who) if len(who) > 1 and any(a == b for a, b in who.values()) else None
-    for dk, at, text in cells:
-        low, high = who[text]
-        if low != high:
-            yield dk, at, at + len(text)
-        elif automaton is not None:
-            first = before = None
-            for i in automaton.matched(text, dk, length):
-                if before is None or i > before + 1:
-                    if first is not None:
-                        yield dk, at + first, at + before + length
-                    first = i
-                before = i
-            if first is not None:
-                yield dk, at + first, at + before + length
-
-
-SENT = "fk bigint, key bigint, w bigint, dk bigint, start int, stretch string"
+    def runs(self, text: str, record: str, length: int) -> list[tuple[int, int]]:
+        """(begin, end) of the longest runs of those windows."""
+        out: list[tuple[int, int]] = []
+        for i in self.matched(text, record, length):
+            if out and i < out[-1][1]:
+                out[-1] = out[-1][0], i + length
+            else:
+                out.append((i, i + length))
+        return out
+
+
+SENT = "field string, key bigint, part bigint, stretch string, doc_id string, places array<int>"
+#: Runs of shared positions, their begin and end in ``places``, or a window and where the record has it; without places it only tells that
+#: a record has it.
+FOUND = "field string, stretch string, doc_id string, places array<int>"
 
 
 def _send(length: int):
-    """For each text the stretches of its anchors, and the windows of its anchors that many records have."""
-    names = ["key", "w", "dk", "start", "stretch"]
+    """For each text the stretches of its anchors."""
+    longest = 8 * length
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in pieces(texts):
-                few, many = (np.unique(batch.column(c).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) for c in (2, 3))
+                own_anchors = [batch.column(c).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (3, 4)]
+                known = np.unique(own_anchors[0].view(np.uint64))
                 text = Hashed(texts[a:b])
-                at, anchor, place, is_many = windows(text, length, few, many)
+                at, anchor = windows(text, length, known)
                 own = np.searchsorted(text.ends, at, side="right")
-                doc, start = keys[a:b][own], at - text.begins[own]
-                w = text.stretch(length)[at[is_many]]
-                offset = ((place - at) // PLACES).astype(np.uint64)
-                key = _mixed(anchor + offset * np.uint64(0xD6E8FEB86659FD93))[is_many]
-                yield pa.RecordBatch.from_arrays([_arrow(key), _arrow(w), pa.array(doc[is_many], pa.int64()), pa.array(start[is_many], pa.int32()), pa.nulls(len(key), pa.string())], names=names)
-                at, anchor, place, own, doc, start = (x[~is_many] for x in (at, anchor, place, own, doc, start))
                 new = np.ones(len(at), bool)
-                new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])
+                begin = np.flatnonzero(new)
+                run_at = at - at[begin][np.cumsum(new) - 1] if len(at) else at
+                new |= run_at % longest == 0  # a run that does not end, as of one letter, goes in several stretches
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(at))[: len(first)] - 1
-                cut = [texts[a + o][i : j + length] for o, i, j in zip(own[first].tolist(), start[first].tolist(), start[last].tolist())]
-                zero = np.zeros(len(first), np.int64)
-                yield pa.RecordBatch.from_arrays([_arrow(anchor[first]), _arrow(zero), pa.array(doc[first], pa.int64()), pa.array(start[first], pa.int32()), pa.array(cut, pa.string())], names=names)
+                # of its own anchors the record knows the part of the shard; those of the batch's other records may be among the windows
+                parts = [dict(zip(h.as_py() or (), p.as_py() or (), strict=True)) for h, p in zip(batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a), strict=True)]
+                cells: dict[tuple[int, int, int, str], list[int]] = {}
+                signed = anchor.view(np.int64)
+                for o, h, i, j in zip(own[first].tolist(), signed[first].tolist(), at[first].tolist(), at[last].tolist(), strict=True):
+                    part = parts[o].get(h)
+                    if part is not None:
+                        start = i - int(text.begins[o])
+                        cells.setdefault((o, h, part, texts[a + o][start : start + j - i + length]), []).append(start)
+                if cells:
+                    who, h, part, cut = zip(*cells, strict=True)
+                    take = pa.array(np.array(who, np.int64) + a)
+                    key = _mixed(np.array(h, np.int64).view(np.uint64) + np.array(part, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(take), _arrow(key), pa.array(part, pa.int64()), pa.array(cut, pa.string()), batch.column(1).take(take), pa.array(list(cells.values()), pa.list_(pa.int32()))],
+                        names=["field", "key", "part", "stretch", "doc_id", "places"],
+                    )
+
+    return run
+
+
+class Shards:
+    """Takes the rows of SENT in the order of (field, key, stretch, doc_id); ``out`` holds the rows of FOUND that are certain.
+
+    A stretch of two records is shared as it is, and only its text is kept; memory goes to distinct texts alone, and to no more than
+    ``most`` code points of them.
+    """
+
+    def __init__(self, length: int, most: int) -> None:
+        self.length, self.most = length, most
+        self.out: list[tuple[str, str | None, str, list[int]]] = []
+        self.shard: tuple[str, int] | None = None
+        self.text: str | None = None
+        self.rows: list[tuple[str, list[int]]] = []
+        self._begin(0)
+
+    def _begin(self, part: int) -> None:
+        self.who: dict[str, tuple[str, str]] = {}
+        self.single: list[tuple[str, str, list[int]]] = []
+        self.size, self.split = 0, part > 0
+        self.windows: dict[str, list[tuple[str, list[int]]]] = {}
+
+    def take(self, field: str, key: int, part: int, stretch: str, doc_id: str, places: list[int]) -> None:
+        if self.shard != (field, key):
+            self.close()
+            self.shard = field, key
+            self._begin(part)
+        elif stretch != self.text:
+            self._text()
+        elif self.rows[0][0] != doc_id:  # two records: they need not be held
+            self._run(doc_id, places, 0, len(stretch))
+            if len(self.rows) == 1 or self.rows[-1][0] == self.rows[0][0]:
+                for d, p in self.rows:
+                    self._run(d, p, 0, len(stretch))
+                self.rows = [self.rows[0], (doc_id, [])]
+            return
+        self.text = stretch
+        self.rows.append((doc_id, places))
+
+    def _run(self, doc_id: str, places: list[int], a: int, b: int) -> None:
+        field = self.shard[0]
+        self.out += [(field, None, doc_id, [p + a, p + b]) for p in places]
+
+    def _text(self) -> None:
+        """All rows of one stretch have been seen."""
+        rows, self.rows = self.rows, []
+        if not rows:
+            return
+        low, high = rows[0][0], rows[-1][0]
+        if not self.split and self.size + len(self.text) > self.most:
+            self.split = True
+            for text, (a, b) in self.who.items():
+                if a != b:
+                    self._cut(text, [(a, []), (b, [])])
+            for d, text, p in self.single:
+                self._cut(text, [(d, p)])
+            self.who, self.single = {}, []
+        if self.split:
+            self._cut(self.text, rows if low == high else [(low, []), (high, [])])
+            return
+        self.size += len(self.text)
+        self.who[self.text] = low, high
+        if low == high:
+            self.single += [(d, self.text, p) for d, p in rows]
+
+    def _cut(self, text: str, rows: list[tuple[str, list[int]]]) -> None:
+        for i in range(len(text) - self.length + 1):
+            self.windows.setdefault(text[i : i + self.length], []).extend((d, [x + i for x in p]) for d, p in rows)
+        if len(self.windows) > HELD:
+            self._hand_on()
+
+    def _hand_on(self) -> None:
+        """Windows of two records are shared; one of them tells the others so. The rest has to be met elsewhere."""
+        field = self.shard[0]
+        for window, rows in self.windows.items():
+            low = min(d for d, _ in rows)
+            if any(d != low for d, _ in rows):
+                for d, p in rows:
+                    self._run(d, p, 0, self.length)
+                self.out.append((field, window, low, []))
+            else:
+                self.out.append((field, window, low, sorted(x for _, p in rows for x in p)))
+        self.windows = {}
+
+    def close(self) -> None:
+        if self.shard is None:
+            return
+        self._text()
+        if self.split:
+            self._hand_on()
+        elif self.single and len(self.who) > 1:
+            automaton = Automaton(self.who)
+            for d, text, p in self.single:
+                for a, b in automaton.runs(text, d, self.length):
+                    self._run(d, p, a, b)
+        self.shard = self.text = None
+
+    def batch(self) -> pa.RecordBatch:
+        out, self.out = self.out, []
+        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["field", "stretch", "doc_id", "places"])
+
+
+def _match(length: int, most: int):
+    """Shards in the order of their rows to what is certain."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = Shards(length, most)
+        for batch in it:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                shards.take(*row)
+            yield shards.batch()
+        shards.close()
+        yield shards.batch()
 
     return run
 
 
-RUNS = "dk bigint, a bigint, b bigint"
+RUNS = "field string, doc_id string, a int, b int"
 
 
-def _match(length: int):
-    """Shards and windows, both in order of their keys, to runs of shared positions."""
+def _windows_met(length: int):
+    """Runs as they are, and those of the windows, in the order of their code points, that two records have."""
+    def runs(batch: pa.RecordBatch, ends: bool) -> pa.RecordBatch:
+        sizes = pc.list_value_length(batch.column(3)).to_numpy()
+        flat = batch.column(3).flatten().to_numpy()
+        take = pa.array(np.repeat(np.arange(len(sizes)), sizes // 2 if ends else sizes), pa.int64())
+        a, b = (flat[::2], flat[1::2]) if ends else (flat, flat + length)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["field", "doc_id", "a", "b"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = Met(3)
-        shard: list[tuple[int, int, str]] = []
-        now = None
+        met = Met(2)
         for batch in it:
-            single = pc.is_null(batch.column(5))
-            for out in met.take(batch.filter(single)):
-                yield _runs(out, length)
-            done: list[tuple[int, int, int]] = []
-            rest = batch.filter(pc.invert(single))
-            for fk, key, dk, start, text in zip(*[rest.column(c).to_pylist() for c in (0, 1, 3, 4, 5)], strict=True):
-                if (fk, key) != now:
-                    done.extend(_shard(shard, length))
-                    shard, now = [], (fk, key)
-                shard.append((dk, start, text))
-            yield _rows(done)
+            certain = pc.is_null(batch.column(1))
+            yield runs(batch.filter(certain), True)
+            for out in met.take(batch.filter(pc.invert(certain))):
+                yield runs(out, False)
         for out in met.rest():
-            yield _runs(out, length)
-        yield _rows(list(_shard(shard, length)))
+            yield runs(out, False)
 
     return run
 
 
-def _rows(runs: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in runs], pa.int64()) for i in range(3)], names=["dk", "a", "b"])
+def _records(texts: DataFrame, length: int) -> DataFrame:
+    rows = texts.where(F.col("field").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= length))
+    return rows.select("field", F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
-def _runs(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Windows to runs of neighbours, as far as they came together; the rest is merged by record."""
-    dk, start = batch.column(3).to_numpy(), batch.column(4).to_numpy().astype(np.int64)
-    order = np.lexsort((start, dk))
-    dk, start = dk[order], start[order]
-    first = np.ones(len(dk), bool)
-    first[1:] = (dk[1:] != dk[:-1]) | (start[1:] > start[:-1] + 1)
-    begin = np.flatnonzero(first)
-    end = np.append(begin[1:], len(dk))[: len(begin)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(dk[begin], pa.int64()), pa.array(start[begin], pa.int64()), pa.array(start[end] + length, pa.int64())], names=["dk", "a", "b"])
+def _merged(runs: DataFrame) -> DataFrame:
+    """field, doc_id, span_start, span_end of runs that may overlap."""
+    by = runs.groupBy("field", "doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("r"))  # runs of one text
+    return by.mapInArrow(_merge, "field string, doc_id string, span_start bigint, span_end bigint")
 
 
-def shared_spans(texts: DataFrame, length: int = 100, most: int = MOST) -> DataFrame:
+def shared_spans(texts: DataFrame, length: int = 100, most: int = MOST, shard: int = SHARD) -> DataFrame:
     """field, doc_id, span_start, span_end: the longest runs of positions that other records of the field share.
 
     ``texts`` has field, doc_id, text; offsets count code points. Repeated rows of one doc_id are one record, whose spans are given
-    once; null and short texts, and rows without doc_id, have none. Spans that differ in a single code point do not match. ``most`` bounds
-    the size of a shard, and has no influence on the result.
+    once; null and short texts, and rows without doc_id, have none. Spans that differ in a single code point do not match. ``most`` and
+    ``shard`` bound the size of a shard, and have no influence on the result.
+    """
+    rows = _records(texts, length)
+    keyed = rows.select(F.xxhash64("field", "doc_id").alias("dk"), "text", F.xxhash64("field").alias("fk"))
+    # equal anchors of different fields must not meet: the field's hash is part of the sort key. Two records of one hash only share their anchors
+    by_field = keyed.mapInArrow(_with_field(_anchors(length)), "fk bigint, h bigint, dk bigint")
+    met = by_field.repartition("fk", "h").sortWithinPartitions("fk", "h", "dk").mapInArrow(_met(2, most), "fk bigint, h bigint, dk bigint, part bigint")
+    lists = met.groupBy("dk").agg(F.collect_list(F.struct("h", "part")).alias("x")).select("dk", F.col("x.h").alias("h"), F.col("x.part").alias("part"))  # anchors of one text
+    chosen = rows.withColumn("dk", F.xxhash64("field", "doc_id")).join(lists.hint("shuffle_hash"), "dk").select("field", "doc_id", "text", "h", "part")
+    sent = chosen.mapInArrow(_send(length), SENT)
+    found = sent.repartition("field", "key").sortWithinPartitions("field", "key", "stretch", "doc_id").mapInArrow(_match(length, shard), FOUND)
+    met_again = found.repartition("field", F.coalesce("stretch", "doc_id")).sortWithinPartitions("field", "stretch", "doc_id").mapInArrow(_windows_met(length), RUNS)
+    return _merged(met_again)
+
+
+def broadcast_spans(texts: DataFrame, length: int = 100, shard: int = SHARD) -> DataFrame:
+    """The same rows by the plain form of the method: the records are dealt into reference shards of about ``shard`` code points, each
+    shard's automaton is broadcast, and every text is streamed through every one. The work grows with the square of the corpus.
+
+    A shard holds no more than twice ``shard`` code points and one text; one that does raises ValueError before it is broadcast.
     """
-    rows = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= length))
-    keyed = rows.select(F.xxhash64("field", "doc_id").alias("dk"), F.col("text"), F.xxhash64("field").alias("fk"))
-    # equal anchors of different fields must not meet: the field's hash is part of the sort key
-    by_field = keyed.select("dk", "text", "fk").mapInArrow(_with_field(_anchors(length)), "fk bigint, h bigint, dk bigint")
-    met = by_field.repartition("fk", "h").sortWithinPartitions("fk", "h", "dk").mapInArrow(_met(2, most), "fk bigint, h bigint, dk bigint, many boolean")
-    few, many = (F.collect_set(F.when(F.col("many") == flag, F.col("h"))).alias(name) for flag, name in ((False, "few"), (True, "many")))
-    lists = met.groupBy("dk").agg(few, many)  # anchors of one text
-    chosen = keyed.join(lists.hint("shuffle_hash"), "dk").select("dk", "text", "few", "many", "fk")
-    sent = chosen.mapInArrow(_with_field(_send(length)), SENT)
-    runs = sent.repartition("fk", "key").sortWithinPartitions("fk", "key", "w", "dk").mapInArrow(_match(length), RUNS)
-    merged = runs.groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("r"))  # runs of one text
-    spans = merged.mapInArrow(_merge, "dk bigint, span_start bigint, span_end bigint")
-    ids = texts.select("field", "doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("dk", F.xxhash64("field", "doc_id"))
-    return spans.join(ids, "dk").select("field", "doc_id", "span_start", "span_end")
+    rows = _records(texts, length).dropDuplicates(["field", "doc_id"])
+    fields = rows.groupBy("field").agg(F.sum(F.length("text")).alias("n"), F.max(F.length("text")).alias("longest")).collect()  # one row a field
+    out = rows.sparkSession.createDataFrame([], RUNS)
+    for f in fields:
+        count = -(-f["n"] // shard)
+        mine = rows.where(F.col("field") == f["field"])
+        dealt = mine.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(count)))
+        for i in range(count):
+            some = dealt.where(F.col("shard") == i).select("doc_id", "text")
+            size = some.agg(F.sum(F.length("text"))).first()[0] or 0
+            if size > 2 * shard + f["longest"]:
+                raise ValueError(f"a shard of {size} code points")
+            who: dict[str, tuple[str, str]] = {}
+            for r in some.collect():
+                low, high = who.get(r["text"], (r["doc_id"], r["doc_id"]))
+                who[r["text"]] = min(low, r["doc_id"]), max(high, r["doc_id"])
+            out = out.unionByName(mine.mapInArrow(_streamed(rows.sparkSession.sparkContext.broadcast(Automaton(who)), length), RUNS))
+    return _merged(out)
+
+
+def _streamed(shared, length: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [(f, d, a, b) for f, d, t in zip(*[c.to_pylist() for c in batch.columns], strict=True) for a, b in shared.value.runs(t, d, length)]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=["field", "doc_id", "a", "b"])
+
+    return run
 
 
 def _with_field(run):
@@ -443,16 +589,32 @@ def _with_field(run):
 
 def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        dk, first, last = [], [], []
-        for key, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        row, first, last = [], [], []
+        for i, runs in enumerate(batch.column(2).to_pylist()):
             for r in runs:
-                if dk and dk[-1] == key and r["a"] <= last[-1]:
+                if row and row[-1] == i and r["a"] <= last[-1]:
                     last[-1] = max(last[-1], r["b"])
                 else:
-                    dk.append(key)
+                    row.append(i)
                     first.append(r["a"])
                     last.append(r["b"])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (dk, first, last)], names=["dk", "span_start", "span_end"])
+        take = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["field", "doc_id", "span_start", "span_end"])
+
+
+def without_shared(texts: DataFrame, length: int = 100) -> DataFrame:
+    """field, doc_id, n_chars, n_left, text: every record with text, its shared stretches cut out; all of them, as no record is the owner.
+
+    Repeated rows of one doc_id are one record, with the greatest of their texts. A record without shared stretches stays as it is, one
+    that is shared from end to end is ''.
+    """
+    rows = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).groupBy("field", F.col("doc_id").cast("string").alias("doc_id")).agg(F.max("text").alias("text"))
+    spans = shared_spans(texts, length).groupBy("field", "doc_id").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("s"))  # of one text
+    edges = F.concat(F.array(F.lit(0).cast("bigint")), F.col("s.span_end"))
+    begins = F.concat(F.col("s.span_start"), F.array(F.length("text").cast("bigint")))
+    kept = F.array_join(F.zip_with(edges, begins, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))), "")
+    out = rows.join(spans, ["field", "doc_id"], "left").withColumn("left_over", F.coalesce(kept, "text"))
+    return out.select("field", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.length("left_over").cast("bigint").alias("n_left"), F.col("left_over").alias("text"))
 
 
 def shared_shares(texts: DataFrame, length: int = 100) -> DataFrame:
