@@ -108,8 +108,18 @@ def p7_mix(spark, d):
 
 @query
 def p7_shares(spark, d):
-    """The shares that the mixture reaches."""
-    return mixing.shares(p7_mix(spark, d), read_table(spark, d, "mix_targets"))
+    """The shares that the mixture reaches, and what it leaves out."""
+    targets = read_table(spark, d, "mix_targets")
+    made = mixing.sized(read_texts(spark, d, "documents"), targets)
+    return mixing.shares(mixing.mix_sized(made, targets), targets, made)
+
+
+@query
+def p7_deviation(spark, d):
+    """How far each source is off its share at most, at any point of the mixture."""
+    targets = read_table(spark, d, "mix_targets")
+    made = mixing.sized(read_texts(spark, d, "documents"), targets)
+    return mixing.deviations(mixing.mix_sized(made, targets), mixing.layout_of(made, targets))
 
 
 def _languages(spark: SparkSession, d: str) -> languages.Model:
