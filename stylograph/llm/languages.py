@@ -4,6 +4,11 @@ Words get a likelihood under each language from letter trigrams and word counts
 without, as texts may have lost theirs. A document is a mixture: expectation maximisation finds the shares of languages that make
 its sentences likeliest, and a language joins the document's set only if the likelihood gains more than a penalty. Within the set a
 Viterbi path over the sentences, which pays for each switch, gives the stretches.
+
+A stretch's confidence is the posterior of its language under the mixture of the document's other sentences. Words are no independent witnesses, so its log
+likelihoods are divided by a temperature that grows with their number; it is fitted to pieces of samples that the model has not seen. A
+logistic rule, fitted to the same pieces and to those read without their own language's model, tells how likely it is that
+none of the languages fits; where that is sure the language is UNKNOWN.
 """
 
 from __future__ import annotations
@@ -24,6 +29,10 @@ from stylograph.llm.sentences import Splitter, lexicon_of
 WORDS = re.compile(r"(?:[^\W\d_]+[\x00̀-ͯ]*)+")
 #: Samples used at most for each language, in the order of their hash.
 MAX_SAMPLES = 2000
+#: The code of a language that is none of the samples'.
+UNKNOWN = "und"
+#: Words of the pieces on which confidence is fitted, and pieces of each size taken from one sample at most.
+SIZES, PIECES = (1, 2, 4, 8, 16, 32, 64), 4
 #: Most words remembered by a worker.
 CACHE = 300_000
 
@@ -31,7 +40,8 @@ CACHE = 300_000
 @dataclass(frozen=True)
 class Settings:
     """``clip``: most that one word may speak for a language, in nats; ``add``: what a language has to gain to be in a document;
-    ``switch``: the price of a change between sentences; ``order_weight``: of the lower order in trigram smoothing."""
+    ``switch``: the price of a change between sentences; ``order_weight``: of the lower order in trigram smoothing; ``unknown``: how sure
+    it has to be that no language fits; ``rare``: how often that is expected."""
 
     clip: float = 6.0
     add: float = 10.0
@@ -39,6 +49,8 @@ class Settings:
     order_weight: float = 3.0
     word_weight: float = 0.5
     rounds: int = 12
+    unknown: float = 0.8
+    rare: float = 0.05
 
 
 #: Thai, Lao, Myanmar, Khmer, kana and ideographs.
@@ -69,8 +81,13 @@ class Model:
     """Log likelihoods of words under each language: first all with accents, then all without. Counts of letter trigrams, smoothed by
     those of pairs and single letters, are mixed with counts of whole words."""
 
-    def __init__(self, samples: list[tuple[str, str]], settings: Settings = Settings()) -> None:
+    def __init__(self, samples: list[tuple[str, str]], settings: Settings = Settings(), calibrate: bool = True) -> None:
         self.s = settings
+        #: Of the temperature: its value for one word, and the power of the number of words.
+        self.heat = (2.0, 0.5)
+        #: Weights of the rule that tells whether no language fits, and the mean log likelihood of a letter in a text of each language.
+        self.misfit: np.ndarray | None = None
+        self.usual: dict[str, float] = {}
         self.langs = sorted({lang for lang, _ in samples})
         self.lexicon = lexicon_of([t for _, t in samples])
         n = len(self.langs)
@@ -93,6 +110,8 @@ class Model:
         self.n_words = np.maximum(sum(self.words.values(), self.none), 1)
         self.alphabet = len(self.grams[0]) + 1000
         self.known: dict[str, np.ndarray] = {}
+        if calibrate:
+            self._calibrate(samples)
 
     def _add(self, counts: dict[str, np.ndarray], key: str, j: int) -> None:
         if key not in counts:
@@ -114,12 +133,101 @@ class Model:
 
     def word(self, w: str) -> np.ndarray:
         """Two log likelihoods for each language; none is more than ``clip`` below the best."""
-        full = plain(w)
+        out = self.raw(plain(w))
+        return np.maximum(out, out.max() - self.s.clip)
+
+    def raw(self, full: str) -> np.ndarray:
+        """Two log likelihoods for each language of a word in its plain form."""
         p = f"\2\2{full}\3"
         letters = sum((self._trigram(p[i - 2 : i + 1]) for i in range(2, len(p))), self.none)
         share = self.words.get(full, self.none) / self.n_words
-        out = np.logaddexp(np.log(self.s.word_weight * share + 1e-300), np.log(1 - self.s.word_weight) + letters)
-        return np.maximum(out, out.max() - self.s.clip)
+        return np.logaddexp(np.log(self.s.word_weight * share + 1e-300), np.log(1 - self.s.word_weight) + letters)
+
+    def posterior(self, ll: np.ndarray, n_words: int, prior: np.ndarray) -> np.ndarray:
+        """Of each language, from the log likelihoods of all words together."""
+        x = ll / max(1.0, self.heat[0] * n_words ** self.heat[1]) + np.log(prior)
+        x = np.exp(x - x.max())
+        return x / x.sum()
+
+    def foreign(self, lang: str, ll: float, letters: int) -> float:
+        """How likely it is that none of the languages fits, where the best one, ``lang``, gives so many letters this log likelihood."""
+        if self.misfit is None or letters <= 0 or lang not in self.usual:
+            return 0.0
+        odds = np.exp(np.clip(_fit_features(np.array([ll / self.usual[lang]]), np.array([letters])) @ self.misfit, -500, 500)[0]) * self.s.rare / (1 - self.s.rare)
+        return float(odds / (1 + odds))
+
+    def _calibrate(self, samples: list[tuple[str, str]]) -> None:
+        """Fits ``heat`` and ``misfit`` to pieces of each half of the samples under a model of the other half."""
+        halves: tuple[list, list] = ([], [])
+        seen: Counter = Counter()
+        for lang, text in samples:
+            halves[seen[lang] % 2].append((lang, text))
+            seen[lang] += 1
+        totals, sizes, fits, letters, best, strange = [], [], [], [], [], []
+        for train, test in (halves, halves[::-1]):
+            model = Model(train, self.s, calibrate=False)
+            n = len(model.langs)
+            at_hand: dict[str, np.ndarray] = {}
+            for lang, text in test:
+                words = list(map(plain, words_of(text)))
+                if lang not in model.langs or n < 3 or not words:
+                    continue
+                own = model.langs.index(lang)
+                for w in words:
+                    if w not in at_hand:
+                        at_hand[w] = model.raw(w)
+                rows = np.array([at_hand[w] for w in words])
+                rest = np.array([j for j in range(2 * n) if j % n != own])
+                for size in SIZES:
+                    for at in range(0, min(len(words) - size + 1, PIECES * size), size):
+                        part = rows[at : at + size]
+                        count = sum(map(len, words[at : at + size]))
+                        for keep, m in ((slice(None), n), (rest, n - 1)):
+                            x = part[:, keep]
+                            x = np.maximum(x, x.max(1, keepdims=True) - self.s.clip).sum(0)
+                            ll = np.logaddexp(x[:m], x[m:])
+                            fits.append(ll.max())
+                            letters.append(count)
+                            kept = model.langs if m == n else [x for x in model.langs if x != lang]
+                            best.append(kept[int(ll.argmax())])
+                            strange.append(m < n)
+                            if m == n:
+                                totals.append(ll - ll[own])
+                                sizes.append(size)
+        if not totals:
+            return
+        width = max(map(len, totals))
+        gaps = np.full((len(totals), width), -np.inf)
+        for i, t in enumerate(totals):
+            gaps[i, : len(t)] = t
+        n_words = np.array(sizes)
+
+        def loss(heat: tuple[float, float]) -> float:
+            x = gaps / np.maximum(1.0, heat[0] * n_words ** heat[1])[:, None]
+            top = x.max(1)
+            return float((np.log(np.exp(x - top[:, None]).sum(1)) + top).mean())
+
+        self.heat = min(((a, b) for a in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0) for b in np.arange(0, 1.01, 0.1)), key=loss)
+        each, odd, of = np.array(fits) / np.array(letters), np.array(strange), np.array(best)
+        self.usual = {x: float(-each[~odd & (of == x)].mean()) for x in self.langs if (~odd & (of == x)).any()}
+        told = np.isin(of, list(self.usual))
+        scale = np.array([self.usual.get(x, 1.0) for x in best])
+        self.misfit = _logistic(_fit_features(np.array(fits) / scale, np.array(letters))[told], odd[told].astype(float))
+
+
+def _fit_features(ll: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    each, size = ll / letters, np.log(letters)
+    return np.stack([np.ones(len(ll)), each, size, each * size], 1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) + ridge * w
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+    return w
 
 
 class Numbers(dict):
@@ -207,6 +315,7 @@ class Labeller:
         units: list[list[tuple[int, int]]] = []
         numbers: list[int] = []
         sizes: list[int] = []
+        letters: list[int] = []
         known = self.known
         for t in texts:
             own = []
@@ -216,6 +325,7 @@ class Labeller:
                     own.append((a, b))
                     numbers += [known[w] for w in found]
                     sizes.append(len(found))
+                    letters.append(sum(map(len, found)))
             units.append(own)
         if not numbers:
             return [[] for _ in texts]
@@ -229,9 +339,9 @@ class Labeller:
             lo, hi = edge[part.start], edge[part.stop]
             both[part] = np.add.reduceat(table[numbers[lo:hi]], edge[part] - lo, axis=0, dtype=np.float64)
         ends = np.concatenate([[0], np.cumsum([len(u) for u in units])])
-        return [self._stretches(len(t), u, both[a:b], n) for t, u, a, b in zip(texts, units, ends[:-1], ends[1:], strict=True)]
+        return [self._stretches(len(t), u, both[a:b], n, sizes[a:b], letters[a:b]) for t, u, a, b in zip(texts, units, ends[:-1], ends[1:], strict=True)]
 
-    def _stretches(self, length: int, units: list[tuple[int, int]], both: np.ndarray, n: int) -> list[tuple[int, int, str, float]]:
+    def _stretches(self, length: int, units: list[tuple[int, int]], both: np.ndarray, n: int, sizes: list[int], letters: list[int]) -> list[tuple[int, int, str, float]]:
         if not units:
             return []
         ll = np.logaddexp(both[:, :n], both[:, n:])
@@ -247,10 +357,15 @@ class Labeller:
         out = []
         for i, (a, b) in enumerate(zip(starts, stops, strict=True)):
             own = langs[way[a]]
-            total = ll[a:b].sum(0) / max(1.0, np.sqrt(b - a))  # sentences are not independent; less sure than their sum
-            sure = 1 / np.exp(total - total[own]).sum()
+            total = ll[a:b].sum(0)
+            prior = np.full(n, 1 / n)  # one sentence's worth for all; the stretch is no witness for its own prior
+            prior[langs] += np.bincount(way, minlength=len(langs)) - (b - a) * (np.arange(len(langs)) == way[a])
+            prior /= prior.sum()
+            sure = self.model.posterior(total, sum(sizes[a:b]), prior)[own]
+            strange = self.model.foreign(self.model.langs[own], total[own], sum(letters[a:b]))
+            lang, sure = (UNKNOWN, strange) if strange > self.model.s.unknown else (self.model.langs[own], sure * (1 - strange))
             end = units[b][0] if b < len(units) else length
-            out.append((0 if i == 0 else units[a][0], end, self.model.langs[own], float(sure)))
+            out.append((0 if i == 0 else units[a][0], end, lang, float(sure)))
         return out
 
 

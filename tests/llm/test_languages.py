@@ -67,3 +67,34 @@ def test_words_inside_a_sentence_make_no_stretch(samples):
 def test_words_beside_scripts_without_spaces_stay():
     assert L.words_of("法院 ve\u030cc so\0ud ก\u0e33ก\u0e34 a") == ["法", "院", "ve\u030cc", "so\0ud", "ก", "\u0e33", "ก", "a"]
     assert L.words_of("法 ve\u030cc") == ["法", *L.words_of("ve\u030cc")]
+
+
+def test_confidence_is_calibrated_on_held_out_pieces(held_out):
+    model, test = held_out
+    pieces = []
+    for lang, texts in test.items():
+        for t in texts:
+            w = t.split()
+            for size in (1, 2, 3, 5, 8, 13, 21):
+                pieces += [(lang, " ".join(w[at : at + size])) for at in range(0, len(w) - size + 1, size)]
+    bins = {}
+    for (lang, _), g in zip(pieces, L.Labeller(model).label([p for _, p in pieces])):
+        if len(g) == 1:
+            bins.setdefault(min(9, int(10 * g[0][3])), []).append((g[0][3], g[0][2] == lang))
+    for b, rows in bins.items():
+        if len(rows) >= 100:
+            assert abs(sum(c for c, _ in rows) / len(rows) - sum(h for _, h in rows) / len(rows)) < 0.1, b
+    assert len(bins) > 4
+
+
+def test_languages_that_no_sample_has_are_unknown(held_out):
+    model, test = held_out
+    foreign = [
+        "Perustuslakituomioistuin katsoo, että valituksenalainen päätös on lainvastainen eikä sitä voida panna täytäntöön ennen asian lopullista ratkaisua.",
+        "헌법재판소는 이 사건 심판청구를 기각한다. 재판관 전원의 일치된 의견으로 결정한다.",
+        "Anayasa Mahkemesi başvurunun reddine oybirliğiyle karar verdi ve gerekçeyi açıkladı.",
+    ]
+    assert all(len(g) == 1 and g[0][2] == L.UNKNOWN and g[0][3] > 0.8 for g in L.Labeller(model).label(foreign))
+    known = [t for ts in test.values() for t in ts]
+    assert not any(s[2] == L.UNKNOWN for g in L.Labeller(model).label(known) for s in g)
+    assert L.Model([("a", "slovo")]).foreign("a", -1.0, 5) == 0.0  # too few samples to tell
