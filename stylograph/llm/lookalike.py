@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stylograph.llm.batches import pieces
+from stylograph.session import checkpoint
 
 # Letters that look the same, by script; a dot where the script has none.
 LATIN = "a c d e h i j l o p q s v w x y A B C E H I J K M N O P S T X Y Z"
@@ -269,16 +270,46 @@ def uniform_texts(texts: DataFrame, keep: list[str], with_text: bool = True) ->
     return source.mapInArrow(run, schema)
 
 
-def same_looks(texts: DataFrame) -> DataFrame:
+#: Stored texts of one look whose pairs are made in one task.
+SPLIT = 1000
+
+
+def _stored(texts: DataFrame) -> DataFrame:
+    """field, doc_id, raw, looks of records with something visible, each text formed once and written."""
+    rows = texts.where(F.col("doc_id").isNotNull())
+    return checkpoint(uniform_texts(rows, ["field", "doc_id"], with_text=False).where(~F.col("blank")).select("field", "doc_id", "raw", "looks").distinct())
+
+
+def _stored_texts(made: DataFrame) -> DataFrame:
+    """field, looks, raw, rep, n: each stored text once, with its least doc_id, of looks that have two stored texts or more; k: how many."""
+    once = made.groupBy("field", "looks", "raw").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    several = made.groupBy("field", "looks").agg(F.min("raw").alias("a"), F.max("raw").alias("b"), F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("head")).where(F.col("a") != F.col("b")).drop("a", "b")
+    return once.join(several, ["field", "looks"])
+
+
+def same_looks(texts: DataFrame, split: int = SPLIT) -> DataFrame:
     """field, doc_id_a, doc_id_b, the smaller first: pairs of records whose texts differ as stored but look the same.
 
-    Records of one stored text make no pairs, however many they are: only looks with two stored texts or more are joined at all. Rows
+    Stored texts are paired first, each once, and then their records, so that records of one stored text make no pairs among themselves,
+    however many they are, and nothing is made that is no result. A look of more than ``split`` stored texts is paired in parts. Rows
     without doc_id, and texts with nothing visible, are left out; repeated rows of one doc_id count once.
     """
-    rows = texts.where(F.col("doc_id").isNotNull())
-    made = uniform_texts(rows, ["field", "doc_id"], with_text=False).where(~F.col("blank")).select("field", "doc_id", "raw", "looks").distinct()
-    several = made.groupBy("field", "looks").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where(F.col("a") != F.col("b")).select("field", "looks")
-    some = made.join(several, ["field", "looks"], "left_semi")
-    a = some.select("field", "looks", F.col("doc_id").alias("doc_id_a"), F.col("raw").alias("ra"))
-    b = some.select("field", "looks", F.col("doc_id").alias("doc_id_b"), F.col("raw").alias("rb"))
-    return a.join(b, ["field", "looks"]).where((F.col("ra") != F.col("rb")) & (F.col("doc_id_a") < F.col("doc_id_b"))).select("field", "doc_id_a", "doc_id_b").distinct()
+    made = _stored(texts)
+    some = _stored_texts(made).withColumn("parts", F.ceil(F.col("n_docs") / split).cast("int"))
+    a = some.select("field", "looks", F.col("raw").alias("ra"), F.pmod(F.xxhash64("raw"), F.col("parts")).cast("int").alias("part"))
+    b = some.select("field", "looks", F.col("raw").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = a.join(b, ["field", "looks", "part"]).where(F.col("ra") < F.col("rb")).select("field", "ra", "rb")
+    x = made.select("field", F.col("doc_id").alias("x"), F.col("raw").alias("ra"))
+    y = made.select("field", F.col("doc_id").alias("y"), F.col("raw").alias("rb"))
+    both = pairs.join(x, ["field", "ra"]).join(y, ["field", "rb"]).where(F.col("x") != F.col("y"))
+    return both.select("field", F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+
+
+def look_classes(texts: DataFrame) -> DataFrame:
+    """field, doc_id, rep, head, n_docs: one row for each record whose look has two stored texts or more.
+
+    ``rep`` is the least doc_id with the same stored text, ``head`` the least with the same look: rep and head are the class's
+    representative pair, and n_docs its records; no pairs are made. Left out and counted once are the same rows as in ``same_looks``.
+    """
+    made = _stored(texts)
+    return made.join(_stored_texts(made), ["field", "looks", "raw"]).select("field", "doc_id", "rep", "head", "n_docs").distinct()

@@ -80,6 +80,12 @@ def p5_found(spark, d):
     return lookalike.same_looks(_texts(spark, d))
 
 
+@query
+def p5_classes(spark, d):
+    """Each record of a look with several stored texts, with its representatives."""
+    return lookalike.look_classes(_texts(spark, d))
+
+
 @query
 def p5_forms(spark, d):
     """The uniform form of each text, as its length and digest."""
