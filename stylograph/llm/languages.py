@@ -13,6 +13,7 @@ none of the languages fits; where that is sure the language is UNKNOWN.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -143,18 +144,21 @@ class Model:
         share = self.words.get(full, self.none) / self.n_words
         return np.logaddexp(np.log(self.s.word_weight * share + 1e-300), np.log(1 - self.s.word_weight) + letters)
 
-    def posterior(self, ll: np.ndarray, n_words: int, prior: np.ndarray) -> np.ndarray:
-        """Of each language, from the log likelihoods of all words together."""
-        x = ll / max(1.0, self.heat[0] * n_words ** self.heat[1]) + np.log(prior)
-        x = np.exp(x - x.max())
-        return x / x.sum()
+    def posterior(self, ll: np.ndarray, n_words: int, own: int, prior: np.ndarray | None) -> float:
+        """Of the language ``own``, from the log likelihoods of all words together; without a prior all languages are alike."""
+        x = (ll - ll[own]) / max(1.0, self.heat[0] * n_words ** self.heat[1])
+        if prior is not None:
+            x += np.log(prior / prior[own])
+        return float(1 / np.exp(np.minimum(x, 700)).sum())
 
     def foreign(self, lang: str, ll: float, letters: int) -> float:
         """How likely it is that none of the languages fits, where the best one, ``lang``, gives so many letters this log likelihood."""
         if self.misfit is None or letters <= 0 or lang not in self.usual:
             return 0.0
-        odds = np.exp(np.clip(_fit_features(np.array([ll / self.usual[lang]]), np.array([letters])) @ self.misfit, -500, 500)[0]) * self.s.rare / (1 - self.s.rare)
-        return float(odds / (1 + odds))
+        a, b, c, d = self.misfit
+        each, size = ll / self.usual[lang] / letters, math.log(letters)
+        odds = math.exp(max(-500.0, min(500.0, a + b * each + c * size + d * each * size))) * self.s.rare / (1 - self.s.rare)
+        return odds / (1 + odds)
 
     def _calibrate(self, samples: list[tuple[str, str]]) -> None:
         """Fits ``heat`` and ``misfit`` to pieces of each half of the samples under a model of the other half."""
@@ -216,6 +220,7 @@ class Model:
 
 
 def _fit_features(ll: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """What ``Model.foreign`` weighs."""
     each, size = ll / letters, np.log(letters)
     return np.stack([np.ones(len(ll)), each, size, each * size], 1)
 
@@ -325,7 +330,7 @@ class Labeller:
                     own.append((a, b))
                     numbers += [known[w] for w in found]
                     sizes.append(len(found))
-                    letters.append(sum(map(len, found)))
+                    letters.append(len("".join(found)))
             units.append(own)
         if not numbers:
             return [[] for _ in texts]
@@ -347,10 +352,11 @@ class Labeller:
         ll = np.logaddexp(both[:, :n], both[:, n:])
         best = ll.argmax(1)
         if (best == best[0]).all():
-            langs, share, way = [int(best[0])], np.ones(1), np.zeros(len(units), np.int64)
-        else:
-            langs, share = choose(ll, self.model.s)
-            way = path(ll, langs, share, self.model.s)
+            own = int(best[0])
+            lang, sure = self._named(own, ll.sum(0), sum(sizes), sum(letters), None)
+            return [(0, length, lang, sure)]
+        langs, share = choose(ll, self.model.s)
+        way = path(ll, langs, share, self.model.s)
         first = np.concatenate([[True], way[1:] != way[:-1]])
         starts = np.flatnonzero(first)
         stops = np.append(starts[1:], len(units))
@@ -358,16 +364,22 @@ class Labeller:
         for i, (a, b) in enumerate(zip(starts, stops, strict=True)):
             own = langs[way[a]]
             total = ll[a:b].sum(0)
-            prior = np.full(n, 1 / n)  # one sentence's worth for all; the stretch is no witness for its own prior
-            prior[langs] += np.bincount(way, minlength=len(langs)) - (b - a) * (np.arange(len(langs)) == way[a])
-            prior /= prior.sum()
-            sure = self.model.posterior(total, sum(sizes[a:b]), prior)[own]
-            strange = self.model.foreign(self.model.langs[own], total[own], sum(letters[a:b]))
-            lang, sure = (UNKNOWN, strange) if strange > self.model.s.unknown else (self.model.langs[own], sure * (1 - strange))
+            prior = None
+            if len(starts) > 1:  # one sentence's worth for all languages; the stretch is no witness for its own prior
+                prior = np.full(n, 1 / n)
+                prior[langs] += np.bincount(way, minlength=len(langs)) - (b - a) * (np.arange(len(langs)) == way[a])
+            lang, sure = self._named(own, total, sum(sizes[a:b]), sum(letters[a:b]), prior)
             end = units[b][0] if b < len(units) else length
-            out.append((0 if i == 0 else units[a][0], end, lang, float(sure)))
+            out.append((0 if i == 0 else units[a][0], end, lang, sure))
         return out
 
+    def _named(self, own: int, total: np.ndarray, n_words: int, letters: int, prior: np.ndarray | None) -> tuple[str, float]:
+        """The code of a stretch in the language ``own``, and its confidence."""
+        strange = self.model.foreign(self.model.langs[own], float(total[own]), letters)
+        if strange > self.model.s.unknown:
+            return UNKNOWN, strange
+        return self.model.langs[own], self.model.posterior(total, n_words, own, prior) * (1 - strange)
+
 
 def segments(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and seg_start, seg_end, lang, confidence: the stretches of each text.
