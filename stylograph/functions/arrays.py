@@ -6,25 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def total(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-
-
-def dot(x: Column, y: Column) -> Column:
-    return total(F.zip_with(x, y, lambda a, b: a * b))
-
-
 def scaled(x: Column, std: Column) -> Column:
     """x / std by position; where std is 0, x stays."""
     return F.zip_with(x, std, lambda a, s: a / F.when(s > 0, s).otherwise(1.0))
-
-
-def burrows(x: Column, y: Column) -> Column:
-    """Mean absolute difference of two scaled vectors."""
-    return total(F.zip_with(x, y, lambda a, b: F.abs(a - b))) / F.size(x)
-
-
-def cosine_distance(x: Column, y: Column) -> Column:
-    """1 - cosine; 1 where either vector has length 0."""
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when(norm == 0, F.lit(1.0)).otherwise(1 - dot(x, y) / F.nullif(norm, F.lit(0.0)))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 #: White space as Python and R see it: Unicode white space and the four separators U+001C to U+001F.
 WS = r"(?U)[\s\x{1C}-\x{1F}]"
 
-#: The named entities that the documents use, with the character each stands for; "amp" has to stay last.
-NAMED_ENTITIES = (("nbsp", " "), ("sect", "§"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("amp", "&"))
+#: Named entities, those of HTML 4 and the one of XML, with the character each stands for.
+NAMED_ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+ENTITY = r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});"
 
 #: The headings that open a separate opinion.
 MARKERS = ("Odlišné stanovisko", "Odlišné-doplňující stanovisko", "Konkurující stanovisko")
@@ -48,15 +51,18 @@ def word_count(x: Column | str) -> Column:
 def html_to_text(x: Column | str) -> Column:
     """Text nodes of HTML put together without a separator, comments dropped, entities decoded; null stays null.
 
-    Entities that are not known stay as they are, as do characters that open no tag.
+    Entities are decimal, hexadecimal or named; those that are not known, or of no character, stay as they are, as do characters that open
+    no tag.
     """
     bare = F.regexp_replace(_col(x), r"(?s)<!--.*?-->|</?[a-zA-Z][^<>]*>|<![a-zA-Z][^<>]*>", "")
-    codes = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"&#(\d{1,6});"), F.lit(1)))
-    codes = F.filter(codes, lambda n: n.cast("int").between(1, 0x10FFFF) & (n.cast("int") != 38) & ~n.cast("int").between(0xD800, 0xDFFF))
-    out = F.aggregate(codes, bare, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")))
-    for name, char in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(out, F.lit("&#38;"), F.lit("&"))
+    named = F.from_json(F.lit(json.dumps(NAMED_ENTITIES)), "map<string,string>")  # folded into a constant
+    code = lambda e: F.when(F.substring(e, 2, 1).isin("x", "X"), F.conv(F.substring(e, 3, 6), 16, 10)).otherwise(F.substring(e, 2, 7)).cast("int")
+    real = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    char = lambda e: F.when(e.startswith("#"), F.when(real(code(e)), F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(named, e))
+    known = F.transform(F.array_distinct(F.regexp_extract_all(bare, F.lit(ENTITY), F.lit(1))), lambda e: F.struct(e.alias("e"), char(e).alias("c")))
+    known = F.filter(known, lambda p: p["c"].isNotNull() & (p["c"] != "&"))
+    out = F.aggregate(known, bare, lambda acc, p: F.replace(acc, F.concat(F.lit("&"), p["e"], F.lit(";")), p["c"]))
+    return F.regexp_replace(out, "&(?:amp|#0*38|#[xX]0*26);", "&")  # last and at once, so that it opens no other entity
 
 
 def extract_after_marker(x: Column | str, markers: Sequence[str] = MARKERS) -> Column:

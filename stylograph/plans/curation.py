@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stylograph.functions.text import MARKERS, extract_after_marker
+from stylograph.functions.text import MARKERS
 from stylograph.operators import curate
 from stylograph.schema import DISSENTS, SUBSET
 
@@ -37,6 +37,5 @@ def curate_corpus(texts: DataFrame, meta: DataFrame, markers: Sequence[str] = MA
     meta = meta.withColumns({c: F.expr(f"try_to_date(cast(`{c}` as string), 'yyyy-MM-dd')") for c in dates})
     subset = curate.left_join(texts.select("doc_id", "text"), meta).select(*[c for c in SUBSET.fieldNames() if c in {"text", *meta.columns}])
     single = curate.single_author(subset)
-    made = single.withColumn("separate_opinion_extracted", extract_after_marker("text", markers))
-    made = made.where(F.col("separate_opinion_extracted").isNotNull() & ~F.col("separate_opinion_extracted").rlike(curate.LIST_LIKE_EXTRACT))
+    made = curate.extract_opinions(single, markers=markers)
     return Curated(subset, single, made.select(*[c for c in DISSENTS.fieldNames() if c in made.columns]))

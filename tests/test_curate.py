@@ -67,3 +67,23 @@ def test_setdiff_nulls_and_empty(spark):
     assert {r[0] for r in curate.lost_keys(a, a.where("doc_id = 'y'")).collect()} == {"x", None}
     assert curate.lost_keys(a.limit(0), a).count() == 0
     assert curate.integrity_report(a, a.where(F.lit(False))).first() == (4, 0, 3)
+
+
+def test_entities_of_all_kinds(spark):
+    from html.entities import name2codepoint
+
+    rows = ["&#xA0;&#x159;&#X159;&#345;&eacute;&copy;&#1114111;", "&amp;lt; &#38;#60; &#x26;amp; &lt;", "&nosuch; &#0; &#xD800; &#1114112; &#9999999; &; &#x; &apos;", "".join(f"&{n};" for n in sorted(name2codepoint) if n != "amp"), None, ""]
+    want = ["\xa0řřřé©\U0010ffff", "&lt; &#60; &amp; <", "&nosuch; &#0; &#xD800; &#1114112; &#9999999; &; &#x; '", "".join(chr(name2codepoint[n]) for n in sorted(name2codepoint) if n != "amp"), None, ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    assert [r.t for r in df.select("i", X.html_to_text("t").alias("t")).orderBy("i").collect()] == want
+
+
+def test_one_by_key(spark):
+    import datetime
+
+    day = lambda y: datetime.date(y, 1, 1) if y else None
+    rows = [("a", "old", day(2020)), ("a", "new", day(2021)), ("a", " ", day(2030)), ("a", "a", None), ("b", None, None), (None, "x", day(2020)), ("c", "z", day(2020)), ("c", "y", day(2020))]
+    df = spark.createDataFrame(rows, "doc_id string, text string, date date")
+    assert {(r.doc_id, r.text) for r in curate.one_by_key(df, text="text", latest="date").collect()} == {("a", "new"), ("b", None), ("c", "y")}
+    assert {(r.doc_id, r.text) for r in curate.one_by_key(df).collect()} == {("a", " "), ("b", None), ("c", "y")}
+    assert curate.one_by_key(df.limit(0)).count() == 0
