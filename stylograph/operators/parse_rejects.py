@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 MISSING = ("", "NA")
 WELL_QUOTED = r'(?s)^(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*$'
+#: Bytes of records that are parsed together.
+PART = 16 << 20
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
@@ -52,8 +54,6 @@ SUBSET_FIELDS = (
 )
 
 
-
-
 def _calendar(values: pa.Array) -> np.ndarray:
     """Whether each present text is a date of the calendar written YYYY-MM-DD."""
     ok = pc.fill_null(pc.match_substring_regex(values, DATE), False).to_numpy(zero_copy_only=False)
@@ -81,14 +81,21 @@ def _faulty(field: Field, values: pa.Array) -> np.ndarray:
 
 
 def _placeholders(lines: pa.Array) -> tuple[str, str]:
-    """Two private characters that no line has; they stand for line breaks while the reader runs."""
+    """Two characters that no line has; they stand for line breaks while the reader runs. No batch has all: a part is of PART bytes."""
     found: list[str] = []
-    for code in range(0xE000, 0xF900):
+    for code in range(0xE000, 0xE010):  # private ones, which hardly any text has
         if not pc.any(pc.match_substring(lines, chr(code))).as_py():
             found.append(chr(code))
-            if len(found) == 2:
-                return found[0], found[1]
-    raise ValueError("the batch uses all private characters")
+    if len(found) < 2:
+        used = set().union(*lines.to_pylist())
+        found = [c for c in map(chr, range(0x10FFFF, 0x9F, -1)) if not "\ud800" <= c <= "\udfff" and c not in used][:2]
+    if len(found) < 2:
+        raise _NoneLeft
+    return found[0], found[1]
+
+
+class _NoneLeft(Exception):
+    """The lines have all characters together."""
 
 
 def _parse(lines: pa.Array, fields: Sequence[Field]) -> tuple[np.ndarray, list[pa.Array]]:
@@ -100,7 +107,14 @@ def _parse(lines: pa.Array, fields: Sequence[Field]) -> tuple[np.ndarray, list[p
     at = np.flatnonzero(quoted)
     columns: list[pa.Array] = [pa.nulls(n, pa.string())] * width
     if len(at):
-        nl, cr = _placeholders(lines)
+        try:
+            nl, cr = _placeholders(lines)
+        except _NoneLeft:
+            if n == 1:  # one record of a million different characters, control characters among them, so no valid row anyhow
+                reason[0] = "value"
+                return reason, columns
+            halves = [_parse(lines.slice(a, b - a), fields) for a, b in ((0, n // 2), (n // 2, n))]
+            return np.concatenate([r for r, _ in halves]), [pa.concat_arrays([x, y]) for x, y in zip(halves[0][1], halves[1][1], strict=True)]
         flat = pc.replace_substring(pc.replace_substring(lines.take(pa.array(at)), "\n", nl), "\r", cr)
         keyed = pc.binary_join_element_wise(pc.cast(pa.array(at), pa.string()), flat, ",")
         data = ("\n".join(keyed.to_pylist()) + "\n").encode()
@@ -138,10 +152,18 @@ def parse_records(df: DataFrame, fields: Sequence[Field] = SUBSET_FIELDS, raw_id
     schema = f"`{raw_id}` bigint, reason string, faults array<string>, " + ", ".join(f"`{f.name}` string" for f in fields)
     out_names = [raw_id, "reason", "faults", *[f.name for f in fields]]
 
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The batch in parts of about PART bytes; a longer record is a part of its own."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, base + PART, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (p for b in batches for p in parts(b)):
             lines = pc.fill_null(batch.column(1).cast(pa.string()), "")
             reason, columns = _parse(lines, fields)
             whole = reason == ""
@@ -169,7 +191,16 @@ def failing_cells(parsed: DataFrame, fields: Sequence[Field] = SUBSET_FIELDS, ra
 
 
 def valid_rows(parsed: DataFrame, fields: Sequence[Field] = SUBSET_FIELDS, raw_id: str = "raw_id") -> DataFrame:
-    """The valid rows with their types; a number of digits only that is beyond the type's range comes out as null."""
+    """The valid rows with their types; a number of digits only that is beyond the type's range comes out as null, and as a row of
+    ``out_of_range``."""
     kinds = {"string": "string", "date": "date", "int": "int"}
     casts = [F.expr(f"try_cast(`{f.name}` AS {kinds[f.kind]})").alias(f.name) for f in fields]
     return parsed.where(F.col("reason").isNull()).select(raw_id, *casts)
+
+
+def out_of_range(parsed: DataFrame, fields: Sequence[Field] = SUBSET_FIELDS, raw_id: str = "raw_id") -> DataFrame:
+    """raw_id, column, value of the cells of valid rows that are well written but beyond what the column's type holds."""
+    numbers = [f.name for f in fields if f.kind == "int"]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in numbers]))
+    held = parsed.where(F.col("reason").isNull()).select(raw_id, cells.alias("x")).select(raw_id, "x.column", "x.value")
+    return held.where(F.col("value").isNotNull() & F.expr("try_cast(value AS int)").isNull())

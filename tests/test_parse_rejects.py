@@ -74,3 +74,28 @@ def test_round_trip(rows):
     reason, columns = P._parse(pa.array(lines), fields)
     assert list(reason) == [""] * len(rows)
     assert [list(r) for r in zip(*[c.to_pylist() for c in columns])] == rows
+
+
+def test_records_of_any_characters(spark):
+    """Batches that use all private characters, and in the end all characters, are parsed in parts."""
+    private = "".join(map(chr, range(0xE000, 0xF900)))
+    rows = [line(text='"' + private + '\n"'), line(text='"x\n\ry"'), line(text="a\nb"), line() + ","]
+    reasons, columns = P._parse(pa.array(rows), P.SUBSET_FIELDS)
+    assert reasons.tolist() == ["", "", "", "columns"] and columns[1].to_pylist()[:3] == [private + "\n", "x\n\ry", "a\nb"]
+    every = "".join(c for c in map(chr, range(0xA0, 0x110000)) if not "\ud800" <= c <= "\udfff")
+    half = len(every) // 2
+    rows = [line(text=every[:half]), line(text="a\nb"), line(text=every[half:]), line(text=every), "x,y"]
+    reasons, columns = P._parse(pa.array(rows), P.SUBSET_FIELDS)
+    assert reasons.tolist() == ["", "", "", "value", "columns"] and columns[1].to_pylist()[:3] == [every[:half], "a\nb", every[half:]]
+
+
+def test_parts_and_numbers_out_of_range(spark, monkeypatch):
+    rows = [(i, line(text="t" * (i % 7 * 300), importance=str(10**i))) for i in range(1, 15)]
+    df = spark.createDataFrame([*rows, (99, None)], "raw_id long, line string")
+    whole = sorted(map(tuple, P.parse_records(df).select("raw_id", "reason").collect()))
+    assert [r for r in whole if r[1] is None] == [(i, None) for i in range(1, 15) if i % 7]
+    monkeypatch.setattr(P, "PART", 1000)
+    small = P.parse_records(df)
+    assert sorted(map(tuple, small.select("raw_id", "reason").collect())) == whole
+    assert sorted(map(tuple, P.out_of_range(small).collect())) == [(i, "importance", str(10**i)) for i in range(10, 14)]
+    assert {r.raw_id: r.importance for r in P.valid_rows(small).collect()}[12] is None
