@@ -26,17 +26,17 @@ R_VECTOR = re.compile(r"(?s)c\s*\(\s*(?=[\"']|NA\b)(.*)\)")
 BRACKETS = re.compile(r"(?s)\[(.*)\]")
 QUOTES = "\"'"
 NO_VALUE = ("", "NA")
-SALTS = 16
 INNER, SURE, FIRST, LAST = range(4)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Parameters. ``inner``: delimiters that one value may hold; ``weight``: of the base measure, in cells; ``new``: the base
+    """Parameters. ``inner``: delimiters that one unquoted value may hold, or None for any number, which makes the lattice of a cell as
+    large as the square of its elements; ``weight``: of the base measure, in cells; ``new``: the base
     measure of a piece, and ``inside``: the factor for each delimiter in it, so that unknown text is cut rather than kept; ``doubt``:
     the count that a piece without standing of its own can reach."""
 
-    inner: int = 4
+    inner: int | None = 32
     iterations: int = 4
     weight: float = 1.0
     new: float = 1e-3
@@ -65,7 +65,7 @@ def _unquote(piece: str) -> str:
     return re.sub(r"\\(.)", r"\1", body).strip()
 
 
-def lattice(cell: str, inner: int = 4) -> tuple[int, list[tuple[int, int, str, int]]]:
+def lattice(cell: str, inner: int | None = 32) -> tuple[int, list[tuple[int, int, str, int]]]:
     """Number of nodes, and edges (from, to, value, delimiters inside, standing). Pieces without a value are edges of value ''.
 
     Standing says what the edge is evidence of: SURE (a quoted element, or all of a cell without delimiters), FIRST or LAST of
@@ -99,7 +99,7 @@ def lattice(cell: str, inner: int = 4) -> tuple[int, list[tuple[int, int, str, i
     begins, ends = [0, *[b for _, b in cuts]], [*[a for a, _ in cuts], n]
     edges = []
     for a in range(len(begins)):
-        for b in range(a, min(len(begins), a + inner + 1)):
+        for b in range(a, len(begins) if inner is None else min(len(begins), a + inner + 1)):
             if b > a and (begins[a] in atoms or begins[b] in atoms):
                 break  # a quoted element joins no other
             text = atoms.get(begins[a]) if begins[a] in atoms else s[begins[a] : ends[b]].strip()
@@ -175,10 +175,11 @@ def _start(m: Model):
 def _with_counts(cells: DataFrame) -> DataFrame:
     """Adds n, the column's count of each edge's value, sure and ends, what of it has standing, and total, the count of all values of the field."""
     long = cells.select("field", "cell", F.posexplode(F.arrays_zip("seg", "e", "standing")).alias("k", "x")).select("field", "cell", "k", "x.seg", "x.e", "x.standing")
+    own = F.when(F.col("seg") == "", F.concat(F.lit("\0"), "cell")).otherwise(F.col("seg"))  # empty pieces have no count, and go to no common task to learn so
     seen = lambda kind: F.sum(F.when(F.col("standing") == kind, F.col("e")).otherwise(0.0))
     counts = long.where(F.col("seg") != "").groupBy("field", "seg").agg(F.sum("e").alias("n"), seen(SURE).alias("sure"), (2 * F.least(seen(FIRST), seen(LAST))).alias("ends"))
     totals = counts.groupBy("field").agg(F.sum("n").alias("total"))
-    joined = long.join(counts, ["field", "seg"], "left")
+    joined = long.withColumn("seg", own).join(counts, ["field", "seg"], "left")
     facts = F.struct("k", "e", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("sure", F.lit(0.0)).alias("sure"), F.coalesce("ends", F.lit(0.0)).alias("ends"))
     back = joined.groupBy("field", "cell").agg(F.array_sort(F.collect_list(facts)).alias("a"))  # the edges of one cell
     columns = [F.col(f"a.{c}").alias(c) for c in ("e", "n", "sure", "ends")]
@@ -241,11 +242,11 @@ def split_values(df: DataFrame, fields: list[str], key: str = "doc_id", model: M
     """field, key, pos from 1, val, n (values of the cell): one row for each value of each cell; repeated rows of a key count once.
 
     Rows without a key, and cells without a value, give no row; empty and 'NA' elements take no place. Values have no quotes, escapes
-    and outer blanks. Other columns are not read. A cell that many rows share is spread over salted copies of its few values.
+    and outer blanks. Other columns are not read. Each distinct cell is joined to its rows once; where one fills much of the table, adaptive
+    execution splits its rows.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("cell")) for f in fields])).alias("x")
     rows = df.select(F.col(key), pairs).select(key, "x.field", "x.cell").where(F.col(key).isNotNull() & ~F.col(key).cast("string").isin(*NO_VALUE) & F.col("cell").isNotNull()).dropDuplicates([key, "field", "cell"])
-    done = segment_cells(rows, model).where(F.size("vals") > 0).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    joined = salted.join(done, ["field", "cell", "salt"])
+    done = segment_cells(rows, model).where(F.size("vals") > 0)
+    joined = rows.join(done, ["field", "cell"])
     return joined.select("field", key, F.size("vals").alias("n"), F.posexplode("vals").alias("pos", "val")).select("field", key, (F.col("pos") + 1).cast("bigint").alias("pos"), "val", "n")

@@ -25,6 +25,11 @@ def p2_cells(spark, d):
     return parse_rejects.failing_cells(_parsed(spark, d))
 
 
+def p2_out_of_range(spark, d):
+    """raw_id, column, value of the numbers of valid rows that the type of their column does not hold."""
+    return parse_rejects.out_of_range(_parsed(spark, d))
+
+
 def p2_rows(spark, d):
     """The valid rows, typed."""
     return parse_rejects.valid_rows(_parsed(spark, d))
@@ -45,21 +50,19 @@ _BAD = {
 _REASON = f"CASE WHEN NOT quoted THEN 'quoting' WHEN width <> {len(_NAMES)} THEN 'columns' WHEN {' OR '.join(f'({x})' for x in _BAD.values())} THEN 'value' END"
 _TYPED = {"date": "DATE", "int": "INT", "string": "VARCHAR"}
 
-QUERIES |= {"p2_found": p2_found, "p2_cells": p2_cells, "p2_rows": p2_rows}
+QUERIES |= {"p2_found": p2_found, "p2_cells": p2_cells, "p2_rows": p2_rows, "p2_out_of_range": p2_out_of_range}
 SQL |= {
     "p2_found": f"{_RECORDS} SELECT raw_id, reason FROM (SELECT raw_id, {_REASON} AS reason FROM n) WHERE reason IS NOT NULL",
     "p2_cells": f"{_RECORDS}, v AS (SELECT * FROM n WHERE ({_REASON}) = 'value') " + " UNION ALL ".join(f"SELECT raw_id, '{c}' AS \"column\", {c} AS value FROM v WHERE {x}" for c, x in _BAD.items()),
+    "p2_out_of_range": f"{_RECORDS}, v AS (SELECT * FROM n WHERE ({_REASON}) IS NULL) " + " UNION ALL ".join(f"SELECT raw_id, '{c}' AS \"column\", {c} AS value FROM v WHERE {c} IS NOT NULL AND try_cast({c} AS INT) IS NULL" for c in ("importance", "length_proceeding")),
     "p2_rows": f"{_RECORDS} SELECT raw_id, {', '.join(f'try_cast({f.name} AS {_TYPED[f.kind]}) AS {f.name}' for f in parse_rejects.SUBSET_FIELDS)} FROM n WHERE ({_REASON}) IS NULL",
 }
 
 
 def p4_found(spark, d):
-    """field, doc_id, pos, val of each cell with two values or more; the values are held against the lists of verdicts and judges."""
-    found = multivalue.split_values(read_table(spark, d, "subset"), ["type_verdict", "separate_opinion"]).where(F.col("n") > 1)
-    verdicts = read_table(spark, d, "verdict_types").select(F.lit("type_verdict").alias("field"), F.col("verdict_name").alias("val"))
-    judges = read_table(spark, d, "judges").select(F.lit("separate_opinion").alias("field"), F.explode(F.array("judge_name", "judge_titled")).alias("val"))
-    known = verdicts.unionByName(judges).distinct()  # fixed lists of 24 and 56 names
-    return found.join(F.broadcast(known), ["field", "val"], "left_semi").select("field", "doc_id", "pos", "val")
+    """field, doc_id, pos, val of each cell with two values or more."""
+    found = multivalue.split_values(read_table(spark, d, "subset"), ["type_verdict", "separate_opinion"])
+    return found.where(F.col("n") > 1).select("field", "doc_id", "pos", "val")
 
 
 def p4_values(spark, d):

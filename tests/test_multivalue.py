@@ -58,3 +58,23 @@ def test_lattice_is_a_path_graph(cell):
     weights = [0.0] * len(edges)
     assert all(-1e-9 <= e <= 1 + 1e-9 for e in M.expected(nodes, edges, weights))
     M.viterbi(nodes, edges, weights)
+
+
+def test_values_of_many_delimiters(spark):
+    long = "a, b, c, d, e, f, g"
+    values = [f'c("{long}")', f'c("{long}", "x")', f"{long}; x", f"{long}; y", "x", "y", "x; y", "y / x"]
+    for inner in (32, None):
+        df = spark.createDataFrame([(f"k{i}", v) for i, v in enumerate(values)], "doc_id string, f string")
+        made = {}
+        for r in M.split_values(df, ["f"], model=M.Model(inner=inner)).orderBy("doc_id", "pos").collect():
+            made.setdefault(r.doc_id, []).append(r.val)
+        assert made["k0"] == [long] and made["k1"] == [long, "x"] and made["k2"] == [long, "x"] and made["k3"] == [long, "y"], made
+
+
+def test_a_cell_of_most_rows_and_empty_elements(spark):
+    rows = [(f"k{i}", "x; y;;;NA") for i in range(300)] + [("z", ";;;"), ("y", ";x;")]
+    df = spark.createDataFrame(rows, "doc_id string, f string")
+    made = sorted((r.doc_id, r.pos, r.val, r.n) for r in M.split_values(df, ["f"]).collect())
+    assert made == sorted([(f"k{i}", p, v, 2) for i in range(300) for p, v in ((1, "x"), (2, "y"))] + [("y", 1, "x", 1)])
+    empty = M.segment_cells(spark.createDataFrame([("f", ";;;")], "field string, cell string")).collect()
+    assert [tuple(r) for r in empty] == [("f", ";;;", [])]
