@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stylograph.functions.text import squish
 from stylograph.operators.lexicon import function_words
+from stylograph.operators.profiles import MAX_PROFILE_BYTES
 
 
 def function_word_vector(df: DataFrame, text: str = "text") -> DataFrame:
@@ -22,8 +23,12 @@ def function_word_vector(df: DataFrame, text: str = "text") -> DataFrame:
 def nearest_author(stream: DataFrame, profiles: DataFrame) -> DataFrame:
     """Adds predicted and score: Burrows' Delta of each row's ``features`` to the profiles (author, mean, std arrays), which are few.
 
-    Stateless: the profiles are joined as one row that holds them all.
+    Stateless: the profiles are joined as one row that holds them all, after a check that they take no more than MAX_PROFILE_BYTES; of
+    more ValueError is raised. For those score each batch of the stream by ``delta.delta_scores`` in foreachBatch, which goes by blocks.
     """
+    size = profiles.agg(F.sum(8 * (F.size("mean") + F.size("std")))).first()[0] or 0
+    if size > MAX_PROFILE_BYTES:
+        raise ValueError(f"{size} bytes of profiles are more than are broadcast ({MAX_PROFILE_BYTES}); use delta.delta_scores in foreachBatch")
     one = profiles.groupBy().agg(F.collect_list(F.struct("author", "mean", "std")).alias("p"))  # one entry an author
     guard = lambda s: F.when(s > 0, s).otherwise(1.0)
     def distance(p):
