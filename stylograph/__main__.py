@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import functools
 
 from pyspark.sql import SparkSession
 
-from stylograph.operators import curate, evaluate
+from stylograph.operators import annotate, curate, evaluate, features
 from stylograph.plans import pipeline
 from stylograph.plans.curation import curate_corpus
 from stylograph.sources import sinks
@@ -14,7 +15,6 @@ from stylograph.sources.tables import read_csv
 
 #: Rows of the summary that are printed.
 SHOWN = 1000
-SETS = ("function_words", "surface", "char3", "pos2")
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -28,9 +28,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     r.add_argument("--corpus", help="needed for the stage load")
     r.add_argument("--output", required=True)
     r.add_argument("--from-step", choices=pipeline.STAGES, default="load")
-    r.add_argument("--features", nargs="+", choices=SETS, default=list(SETS))
+    r.add_argument("--features", nargs="+", choices=features.FEATURE_SETS, default=list(features.FEATURE_SETS))
     r.add_argument("--methods", nargs="+", choices=pipeline.METHODS, default=list(pipeline.METHODS))
     r.add_argument("--min-dissents", type=int, default=5)
+    r.add_argument("--model-path", help="UDPipe model for the stage annotate; without it the rule annotator is used")
     s = commands.add_parser("summary", help="counts by author")
     s.add_argument("--corpus", required=True)
     s.add_argument("--min-dissents", type=int, default=5)
@@ -60,9 +61,9 @@ def main(argv: list[str] | None = None) -> None:
                 print(f"{left} more authors are not shown; --output writes all")
     else:
         corpus = _read(spark, a.corpus) if a.from_step == "load" else None
-        p = pipeline.run(spark, corpus, a.output, a.from_step, a.min_dissents, tuple(a.features), tuple(a.methods))
+        p = pipeline.run(spark, corpus, a.output, a.from_step, a.min_dissents, tuple(a.features), tuple(a.methods), annotator=functools.partial(annotate.annotate_udpipe, model_path=a.model_path) if a.model_path else annotate.annotate_rules)
         report = evaluate.class_report(p)
-        print(sinks.text_report(evaluate.metrics(p), report))
+        print(sinks.text_report(evaluate.metrics(p), report, evaluate.averages(report)))
         sinks.write_confusion_json(evaluate.confusion(p), f"{a.output}/confusion_matrices.json")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from stylograph.functions import text as X
 from stylograph.operators import annotate, classify, curate, delta, evaluate, features, profiles
 from stylograph.operators.lexicon import function_words, word_tags
-from stylograph.plans import data_queries
+from stylograph.plans import data_queries, pipeline
+from stylograph.session import checkpoint
 from stylograph.sources import sinks
 from stylograph.sources.tables import read_conllu, read_table, read_texts
 from stylograph.schema import ColumnMap
@@ -39,10 +40,10 @@ def _rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 
 def opinions(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, author, text of each separate opinion; of repeated rows the least values."""
+    """doc_id, author, text of each separate opinion; of repeated rows the least, one with text before one without."""
     t = read_table(spark, d, "subset_disent2").select(_present("doc_id").alias("doc_id"), _present("separate_opinion_extracted").alias("text"), X.trim_ws("separate_opinion").alias("author"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that few and short texts still go to all cores
-    return t.where(F.col("doc_id").isNotNull() & F.col("author").isNotNull()).repartition(n, "doc_id").groupBy("doc_id").agg(F.min("author").alias("author"), F.min("text").alias("text"))
+    return t.where(F.col("doc_id").isNotNull() & F.col("author").isNotNull()).repartition(n, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull(), "author", "text")).alias("r")).select("doc_id", "r.author", "r.text")
 
 
 def opinion_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +56,9 @@ _TRIM = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"  # noqa: E7
 _SQUISH = lambda c: f"trim(regexp_replace({c}, '{_WS}+', ' ', 'g'))"
 _CLEAN = lambda c: f"trim(regexp_replace(translate(regexp_replace({_SQUISH(f"coalesce({c}, '')")}, '&[a-zA-Z]+;', ' ', 'g'), '–—', '--'), ' {{2,}}', ' ', 'g'))"
 _WORDS = lambda c: f"len(regexp_extract_all({c}, '[^\\s\\x0b\\x85\\x{{1C}}-\\x{{1F}}\\pZ]+'))"
-_HTML = lambda c: "replace(" * 12 + f"regexp_replace({c}, '<!--(?s:.*?)-->|</?[a-zA-Z][^<>]*>|<![a-zA-Z][^<>]*>', '', 'g')" + "".join(f", '{a}', '{b}')" for a, b in (("&#160;", " "), ("&#167;", "§"), *((f"&{n};", "''" if c == "'" else c) for n, c in X.NAMED_ENTITIES)))
+#: The named entities that the tables have; "amp" has to stay last.
+_ENTITIES = [(n, X.NAMED_ENTITIES[n]) for n in ("nbsp", "sect", "lt", "gt", "quot", "apos", "ndash", "mdash", "hellip", "amp")]
+_HTML = lambda c: "replace(" * 12 + f"regexp_replace({c}, '<!--(?s:.*?)-->|</?[a-zA-Z][^<>]*>|<![a-zA-Z][^<>]*>', '', 'g')" + "".join(f", '{a}', '{b}')" for a, b in (("&#160;", " "), ("&#167;", "§"), *((f"&{n};", "''" if c == "'" else c) for n, c in _ENTITIES)))
 _SINGLE = f"SELECT * REPLACE ({_TRIM('separate_opinion')} AS separate_opinion) FROM subset WHERE {_TRIM('separate_opinion')} NOT IN ('NA', '') AND NOT regexp_matches({_TRIM('separate_opinion')}, '^c\\s*\\(.*\\)$')"
 _MARKED = "|".join(X.MARKERS)
 _PLAIN = _HTML("replace(text, '&nbsp;', ' ')")
@@ -63,9 +66,9 @@ _AFTER = _TRIM(f"regexp_replace(({_PLAIN}), '(?is)^.*?(?:{_MARKED})', '')")
 _EXTRACTED = f"""SELECT * FROM (SELECT doc_id, separate_opinion, nullif({_TRIM("regexp_replace(after, '(?s)^.*?\\n" + _WS + "*\\n', '')")}, '') AS separate_opinion_extracted
   FROM (SELECT doc_id, separate_opinion, CASE WHEN regexp_matches({_PLAIN}, '(?i){_MARKED}') THEN {_AFTER} END AS after FROM ({_SINGLE})))
   WHERE separate_opinion_extracted IS NOT NULL AND NOT regexp_matches(separate_opinion_extracted, '^\\s*c\\s*\\(.*\\)\\s*$')"""
-_OPINIONS = f"""op AS (SELECT doc_id, min(author) AS author, min(text) AS text FROM (SELECT CASE WHEN doc_id NOT IN ('NA', '') THEN doc_id END AS doc_id,
+_OPINIONS = f"""op AS (SELECT doc_id, author, text FROM (SELECT CASE WHEN doc_id NOT IN ('NA', '') THEN doc_id END AS doc_id,
   CASE WHEN separate_opinion_extracted NOT IN ('NA', '') THEN separate_opinion_extracted END AS text, {_TRIM('separate_opinion')} AS author FROM subset_disent2)
-  WHERE doc_id IS NOT NULL AND author IS NOT NULL GROUP BY doc_id)"""
+  WHERE doc_id IS NOT NULL AND author IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY text IS NULL, author, text) = 1)"""
 
 
 def _quoted(words) -> str:
@@ -85,12 +88,22 @@ def _tokens(source: str = "op") -> str:
 
 
 _TOK = f"WITH {_OPINIONS}, {_tokens()}"
-_C3 = """, ln AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY sent_id, tok_id) AS t FROM tok GROUP BY doc_id),
- g AS (SELECT doc_id, substr(t, i, 3) AS gram FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM ln)),
- c AS (SELECT doc_id, gram, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM g GROUP BY doc_id, gram)"""
-_P2 = """, g AS (SELECT doc_id, upos || '_' || nx AS gram FROM (SELECT doc_id, upos, lead(upos) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id) AS nx FROM tok) WHERE nx IS NOT NULL),
- c AS (SELECT doc_id, gram, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM g GROUP BY doc_id, gram)"""
-_VOCAB = " SELECT gram, weight FROM (SELECT gram, round(sum(n / total), 9) AS weight FROM c GROUP BY gram) ORDER BY weight DESC, gram LIMIT "
+
+
+def _grams(kind: str, t: str = "") -> str:
+    """Tables g (doc_id, gram) and c (doc_id, gram, n, total), their names followed by ``t``."""
+    made = {
+        "char_ngrams": f"ln{t} AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY sent_id, tok_id) AS t FROM tok GROUP BY doc_id), g{t} AS (SELECT doc_id, substr(t, i, 3) AS gram FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM ln{t}))",
+        "pos_ngrams": f"g{t} AS (SELECT doc_id, upos || '_' || nx AS gram FROM (SELECT doc_id, upos, lead(upos) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id) AS nx FROM tok) WHERE nx IS NOT NULL)",
+    }
+    return f"{made[kind]}, c{t} AS (SELECT doc_id, gram, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM g{t} GROUP BY doc_id, gram)"
+
+
+def _vocab(k: int, t: str = "") -> str:
+    return f"SELECT gram, weight FROM (SELECT gram, round(sum(n / total), 9) AS weight FROM c{t} GROUP BY gram) ORDER BY weight DESC, gram LIMIT {k}"
+
+
+_C3, _P2 = f", {_grams('char_ngrams')}", f", {_grams('pos_ngrams')}"
 
 # --- curation -------------------------------------------------------------------------------------------------------------
 
@@ -117,6 +130,16 @@ def lost_docs_setdiff(spark, d):
     return curate.lost_keys(one, curate.extract_opinions(one))
 
 
+_LATER = _EXTRACTED.replace(_MARKED, "|".join(X.MARKERS[1:]))
+
+
+@query(f"SELECT doc_id FROM ({_SINGLE}) EXCEPT SELECT doc_id FROM ({_LATER})")
+def lost_docs_by_marker(spark, d):
+    """The decisions that are lost where only the later markers are looked for."""
+    one = curate.single_author(read_texts(spark, d, "subset"))
+    return curate.lost_keys(one, curate.extract_opinions(one, markers=X.MARKERS[1:]))
+
+
 @query(f"SELECT (SELECT count(*) FROM ({_SINGLE})) AS n_before, (SELECT count(*) FROM ({_EXTRACTED})) AS n_after, (SELECT count(*) FROM (SELECT doc_id FROM ({_SINGLE}) EXCEPT SELECT doc_id FROM ({_EXTRACTED}))) AS n_lost")
 def integrity_report(spark, d):
     one = curate.single_author(read_texts(spark, d, "subset"))
@@ -229,15 +252,18 @@ def word_length(spark, d):
     return _rounded(features.word_length(opinion_tokens(spark, d)), "word_len_mean", "word_len_std", "word_len_median")
 
 
-@query(f"{_TOK} SELECT doc_id, " + ", ".join(f"round(sum((form = '{p}')::INT) * 1000 / count(*), 6) AS {n}" for n, p in zip(features.punct_names(), features.PUNCTUATION, strict=True)) + " FROM tok GROUP BY doc_id")
+_MARKS = {n: f"sum((form = '{p}')::INT) * 1000 / count(*)" for n, p in zip(features.punct_names(), features.PUNCTUATION, strict=True)}
+
+
+@query(f"{_TOK} " + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, round({x}, 6) AS value FROM tok GROUP BY doc_id" for n, x in _MARKS.items()))
 def punct_per_1k(spark, d):
-    return _rounded(features.punctuation(opinion_tokens(spark, d)), *features.punct_names())
+    return _rounded(features.punctuation(opinion_tokens(spark, d)).unpivot("doc_id", [F.col(f"`{n}`") for n in features.punct_names()], "name", "value"), "value")
 
 
-@query(f"""{_TOK}, f AS (SELECT doc_id, lemma, count(*) AS n FROM tok WHERE upos <> 'PUNCT' GROUP BY 1, 2) SELECT doc_id, round(count(*) / sum(n), 6) AS ttr, round(count(*) / sum(n), 6) AS lemma_ttr,
+@query(f"""{_TOK}, f AS (SELECT doc_id, lemma, count(*) AS n FROM tok WHERE upos <> 'PUNCT' GROUP BY 1, 2) SELECT doc_id, round(count(*) / sum(n), 6) AS ttr_form, round(count(*) / sum(n), 6) AS ttr_lemma,
  round(sum((n = 1)::INT) / sum(n), 6) AS hapax_ratio FROM f GROUP BY doc_id""")
 def vocab_richness(spark, d):
-    return _rounded(features.richness(opinion_tokens(spark, d)), "ttr", "lemma_ttr", "hapax_ratio")
+    return _rounded(features.richness(opinion_tokens(spark, d)), "ttr_form", "ttr_lemma", "hapax_ratio")
 
 
 @query(f"""{_TOK}{_C3} SELECT doc_id, gram, rank, round(n / total, 6) AS freq FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram)::INT AS rank FROM c) WHERE rank <= 20""")
@@ -245,7 +271,7 @@ def char3_topk_per_doc(spark, d):
     return _rounded(features.top_per_doc(features.char_counts(opinion_tokens(spark, d)), 20), "freq")
 
 
-@query(f"SELECT gram, round(weight, 6) AS weight FROM ({_TOK}{_C3}{_VOCAB}200)")
+@query(f"SELECT gram, round(weight, 6) AS weight FROM ({_TOK}{_C3} {_vocab(200)})")
 def char3_vocab(spark, d):
     return _rounded(features.vocabulary(features.char_counts(opinion_tokens(spark, d)), 200), "weight")
 
@@ -263,29 +289,58 @@ def pos2_profile(spark, d):
     return _rounded(features.profile(features.pos_counts(opinion_tokens(spark, d))), "freq")
 
 
-@query(f"SELECT gram, round(weight, 6) AS weight FROM ({_TOK}{_P2}{_VOCAB}100)")
+@query(f"SELECT gram, round(weight, 6) AS weight FROM ({_TOK}{_P2} {_vocab(100)})")
 def pos2_vocab(spark, d):
     return _rounded(features.vocabulary(features.pos_counts(opinion_tokens(spark, d)), 100), "weight")
 
 
-@query(
-    f"""{_TOK}, t AS (SELECT doc_id, count(*) AS total FROM tok GROUP BY 1), w AS (SELECT unnest([{_quoted(function_words())}]) AS w), n AS (SELECT doc_id, lemma AS w, count(*) AS n FROM tok GROUP BY 1, 2),
- {_C3.lstrip(', ')}, v AS ({_VOCAB}200),
- fw AS (SELECT doc_id, 'fw_' || w AS name, coalesce(n / total, 0) AS value FROM op CROSS JOIN w LEFT JOIN n USING (doc_id, w) LEFT JOIN t USING (doc_id)),
- ch AS (SELECT op.doc_id, 'char3_' || v.gram AS name, coalesce(n / total, 0) AS value FROM op CROSS JOIN v LEFT JOIN c ON c.doc_id = op.doc_id AND c.gram = v.gram)
- SELECT doc_id, name, round(value, 6) AS value FROM fw UNION ALL SELECT doc_id, name, round(value, 6) FROM ch"""
-)
+#: For each surface feature the rows it is made of and its value.
+_SURFACE = {
+    **{f"sent_len_{k}": ("sl", x) for k, x in (("mean", "avg(n)"), ("std", "stddev_pop(n)"), ("median", "median(n)"), ("min", "min(n)"), ("max", "max(n)"))},
+    "sent_count": ("sl", "count(*)"),
+    **{f"word_len_{k}": ("wd", f"{x}(length(form))") for k, x in (("mean", "avg"), ("std", "stddev_pop"), ("median", "median"))},
+    **{n: ("tok", x) for n, x in _MARKS.items()},
+    "ttr_form": ("ty", "count(*) / sum(n)"),
+    "ttr_lemma": ("ty", "count(*) / sum(n)"),
+    "hapax_ratio": ("ty", "sum((n = 1)::INT) / sum(n)"),
+}
+
+
+def _matrix_sql(source: str, sets: tuple[str, ...] = features.FEATURE_SETS) -> str:
+    """Tables up to fm: doc_id, name, value of the features of ``source``, zeros filled."""
+    parts = [f"{_tokens(source)}, tt AS (SELECT doc_id, count(*) AS total FROM tok GROUP BY 1)"]
+    values, names = [], []
+    if "function_words" in sets:
+        values.append(f"SELECT doc_id, 'fw_' || lemma AS name, count(*) / any_value(total) AS value FROM tok JOIN tt USING (doc_id) WHERE lemma IN ({_quoted(function_words())}) GROUP BY doc_id, lemma")
+        names.append(f"SELECT 'fw_' || unnest([{_quoted(function_words())}]) AS name")
+    if "surface" in sets:
+        parts.append("sl AS (SELECT doc_id, sent_id, count(*) AS n FROM tok GROUP BY 1, 2), wd AS (SELECT * FROM tok WHERE upos <> 'PUNCT'), ty AS (SELECT doc_id, lemma, count(*) AS n FROM wd GROUP BY 1, 2)")
+        values += [f"SELECT doc_id, '{n}' AS name, {x} AS value FROM {t} GROUP BY doc_id" for n, (t, x) in _SURFACE.items()]
+        names.append(f"SELECT unnest([{_quoted(_SURFACE)}])")
+    for kind, t, k in (("char_ngrams", "3", 200), ("pos_ngrams", "2", 100)):
+        if kind in sets:
+            label = "char3_" if t == "3" else "pos2_"
+            parts.append(f"{_grams(kind, t)}, v{t} AS ({_vocab(k, t)})")
+            values.append(f"SELECT doc_id, '{label}' || gram AS name, n / total AS value FROM c{t} SEMI JOIN v{t} USING (gram)")
+            names.append(f"SELECT '{label}' || gram FROM v{t}")
+    return f"{', '.join(parts)}, val AS ({' UNION ALL '.join(values)}), nam AS ({' UNION ALL '.join(names)}), fm AS (SELECT doc_id, name, coalesce(value, 0)::DOUBLE AS value FROM {source} CROSS JOIN nam LEFT JOIN val USING (doc_id, name))"
+
+
+def _long(made: DataFrame, names: list[str]) -> DataFrame:
+    rows = made.select("doc_id", F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("name"), F.col("features").alias("value"))).alias("x"))
+    return _rounded(rows.select("doc_id", F.col("x.name").alias("name"), F.col("x.value").alias("value")), "value")
+
+
+@query(f"WITH {_OPINIONS}, {_matrix_sql('op', ('function_words', 'char_ngrams'))} SELECT doc_id, name, round(value, 6) AS value FROM fm")
 def feature_matrix(spark, d):
-    made, names = features.matrix(opinions(spark, d), opinion_tokens(spark, d).persist(), ("function_words", "char3"))
-    long = made.select("doc_id", F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("name"), F.col("features").alias("value"))).alias("x"))
-    return _rounded(long.select("doc_id", F.col("x.name").alias("name"), F.col("x.value").alias("value")), "value")
+    return _long(*features.matrix(opinions(spark, d), opinion_tokens(spark, d), ("function_words", "char_ngrams")))
 
 
-@query()
+@query(f"WITH {_OPINIONS}, {_matrix_sql('op')} SELECT doc_id, name, round(value, 6) AS value FROM fm")
 def feature_matrix_full(spark, d):
-    """All 563 features; as one row a document."""
-    made, _ = features.matrix(opinions(spark, d), opinion_tokens(spark, d).persist())
-    return made.select("doc_id", "author", F.size("features").alias("n_features"), F.round(F.aggregate("features", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+    """All features: 240 function words, 23 of the surface, 200 character and up to 100 part-of-speech n-grams, as many as there are."""
+    docs = checkpoint(opinions(spark, d))
+    return _long(*features.matrix(docs, checkpoint(annotate.annotate_rules(docs))))
 
 
 # --- profiles, Delta, classifiers -----------------------------------------------------------------------------------------
@@ -363,11 +418,14 @@ def rank3_accuracy(spark, d):
     return _rounded(evaluate.metrics(delta.loo_delta(vectors(spark, d), "burrows")).select("n", "accuracy", "rank3_accuracy"), "accuracy", "rank3_accuracy")
 
 
-@query(
-    """WITH v AS (SELECT vec_id::VARCHAR AS doc_id, label::VARCHAR AS author, embedding::DOUBLE[] AS e FROM embeddings),
- p AS (SELECT a.doc_id, a.author, b.author AS label, row_number() OVER (PARTITION BY a.doc_id ORDER BY round(list_distance(a.e, b.e), 9), b.doc_id) AS r FROM v a JOIN v b ON a.doc_id <> b.doc_id),
- t AS (SELECT doc_id, author, label, count(*) AS n FROM p WHERE r <= 3 GROUP BY 1, 2, 3)
+_VOTES = """t AS (SELECT doc_id, author, label, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(dist, 9), other) AS r FROM p) WHERE r <= 3 GROUP BY 1, 2, 3)
  SELECT 'knn' AS method, doc_id, author, first(label ORDER BY n DESC, label) AS predicted, NULL::INT AS rank_of_true FROM t GROUP BY 2, 3"""
+
+
+@query(
+    f"""WITH {_E}, w AS (SELECT doc_id, pos, (st.q - x * x) / (st.n - 1) - ((st.s - x) / (st.n - 1)) ** 2 AS v FROM e JOIN st USING (pos)),
+ p AS (SELECT a.doc_id, a.author, b.doc_id AS other, b.author AS label, sqrt(sum((a.x - b.x) ** 2 / CASE WHEN v > 0 THEN v ELSE 1 END)) AS dist
+  FROM e a JOIN e b ON a.pos = b.pos AND a.doc_id <> b.doc_id JOIN w ON w.doc_id = a.doc_id AND w.pos = a.pos GROUP BY 1, 2, 3, 4), {_VOTES}"""
 )
 def knn_loo(spark, d):
     return classify.loo_knn(vectors(spark, d))
@@ -383,6 +441,41 @@ def loo_logistic(spark, d):
     return classify.loo_linear(vectors(spark, d), "logistic")
 
 
+# --- the opinions by their features ----------------------------------------------------------------------------------------
+
+
+def attribution_features(spark: SparkSession, d: str, least: int = 5) -> DataFrame:
+    """The feature matrix of the opinions of authors with ``least`` opinions or more, written once."""
+    docs = checkpoint(curate.at_least(opinions(spark, d), "author", least))
+    made, _ = features.matrix(docs, checkpoint(annotate.annotate_rules(docs)))
+    return checkpoint(made)
+
+
+#: Each fold refitted by itself: deviations and profiles of all other texts.
+_FOLDS = f"""WITH {_OPINIONS}, kept AS (SELECT * FROM op QUALIFY count(*) OVER (PARTITION BY author) >= 5), {_matrix_sql('kept')},
+ e AS (SELECT doc_id, author, name, value AS x FROM fm JOIN kept USING (doc_id)), f AS (SELECT doc_id AS fold FROM kept),
+ st AS (SELECT fold, name, CASE WHEN min(x) = max(x) THEN 1 ELSE stddev_pop(x) END AS s FROM f JOIN e ON e.doc_id <> fold GROUP BY 1, 2),
+ au AS (SELECT fold, author AS candidate, name, avg(x) AS m FROM f JOIN e ON e.doc_id <> fold GROUP BY 1, 2, 3),
+ z AS (SELECT e.doc_id, e.author, candidate, x / s AS a, m / s AS b FROM e JOIN st ON fold = e.doc_id AND st.name = e.name JOIN au ON au.fold = e.doc_id AND au.name = e.name),
+ sc AS (SELECT doc_id, author, candidate, round(avg(abs(a - b)), 9) AS burrows, round(CASE WHEN sum(a * a) = 0 OR sum(b * b) = 0 THEN 1.0 ELSE 1 - sum(a * b) / sqrt(sum(a * a)) / sqrt(sum(b * b)) END, 9) AS cosine FROM z GROUP BY 1, 2, 3),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY method, doc_id ORDER BY score, candidate) AS r FROM (UNPIVOT sc ON burrows, cosine INTO NAME method VALUE score)),
+ p AS (SELECT a.doc_id, a.author, b.doc_id AS other, b.author AS label, sqrt(sum(((a.x - b.x) / s) ** 2)) AS dist FROM e a JOIN e b ON a.name = b.name AND a.doc_id <> b.doc_id JOIN st ON fold = a.doc_id AND st.name = a.name GROUP BY 1, 2, 3, 4),
+ votes AS (WITH {_VOTES})"""
+
+
+@query(f"""{_FOLDS} SELECT method, doc_id, author, max(CASE WHEN r = 1 THEN candidate END) AS predicted, max(CASE WHEN candidate = author THEN r END)::INT AS rank_of_true FROM rk GROUP BY 1, 2, 3
+ UNION ALL SELECT method, doc_id, author, predicted, rank_of_true FROM votes""")
+def attribution(spark, d):
+    """Who wrote each opinion, by all features: leave-one-out predictions of Burrows' Delta, Cosine Delta and nearest neighbours."""
+    return pipeline.evaluate_methods(attribution_features(spark, d), ("burrows", "cosine", "knn"))
+
+
+@query()
+def attribution_linear(spark, d):
+    """The same by the linear SVM and by logistic regression, refitted for each opinion."""
+    return pipeline.evaluate_methods(attribution_features(spark, d), ("svm", "logistic"))
+
+
 # --- metrics --------------------------------------------------------------------------------------------------------------
 
 _PRED = "p AS (SELECT method, author, predicted AS pred, rank_of_true FROM predictions)"
@@ -430,13 +523,14 @@ def flagship(spark: SparkSession, d: str, words: int = 30) -> DataFrame:
     """Documents to tokens, the most common words as features, leave-one-out Burrows' Delta by source."""
     docs = read_texts(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce("source", F.lit("unknown")).alias("author"))
     toks = annotate.annotate_rules(docs)
-    counts = toks.groupBy("doc_id", "lemma", (F.col("upos") == "PUNCT").alias("mark")).agg(F.count(F.lit(1)).alias("n")).persist()  # texts are read once
+    counts = toks.groupBy("doc_id", "lemma", (F.col("upos") == "PUNCT").alias("mark")).agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpoint(counts)  # texts are read once
     common = [r["lemma"] for r in counts.where(~F.col("mark")).groupBy("lemma").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lemma").limit(words).collect()]
     columns = [(F.coalesce(F.sum(F.when(F.col("lemma") == w, F.col("n"))), F.lit(0)) / F.sum("n")).alias(f"w{i}") for i, w in enumerate(common)]
     freq = counts.groupBy("doc_id").agg(*columns)
     vec = F.array(*[F.coalesce(f"w{i}", F.lit(0.0)) for i in range(len(common))])
     made = docs.select("doc_id", "author").join(freq, "doc_id", "left").select("doc_id", "author", vec.alias("features"))
-    return delta.loo_delta(made.persist(), "burrows")
+    return delta.loo_delta(checkpoint(made), "burrows")
 
 
 @query()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +28,19 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and go on from there.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests, a folder of this machine is used.
+    The folder is the session's spark.checkpoint.dir. Only where that is unset and all of Spark runs in one process, as in tests, a folder
+    of this machine is used, and removed at the end; a cluster has to name one that all its machines share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        own = os.path.join(tempfile.gettempdir(), "stylograph-checkpoints")
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
+            folder = tempfile.mkdtemp(prefix="stylograph-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

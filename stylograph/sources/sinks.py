@@ -42,12 +42,17 @@ def write_confusion_json(confusion: DataFrame, path: str) -> None:
         json.dump(done, f, ensure_ascii=False, indent=2)
 
 
-def text_report(metrics: DataFrame, report: DataFrame) -> str:
-    """Accuracy, rank-3 accuracy and the class table of each method; one row a method and class, so small."""
+def text_report(metrics: DataFrame, report: DataFrame, averages: DataFrame | None = None) -> str:
+    """Accuracy, rank-3 accuracy, the class table of each method and its averages; one row a method and class, so small."""
     lines = []
     classes = report.orderBy("method", "label").collect()
+    means = {r["method"]: r for r in averages.collect()} if averages is not None else {}
     for m in metrics.orderBy("method").collect():
         rank3 = "" if m["rank3_accuracy"] is None else f"  rank-3 {m['rank3_accuracy']:.3f}"
         lines += [f"== {m['method']}", f"accuracy {m['accuracy']:.3f}{rank3}"]
         lines += [f"{r['label']:>40} {r['precision']:.2f} {r['recall']:.2f} {r['f1']:.2f} {r['support']}" for r in classes if r["method"] == m["method"]]
+        if m["method"] in means:
+            a, n = means[m["method"]], sum(r["support"] for r in classes if r["method"] == m["method"])
+            lines.append(f"{'accuracy':>40} {'':4} {'':4} {m['accuracy']:.2f} {n}")
+            lines += [f"{kind + ' avg':>40} {a[kind + '_precision']:.2f} {a[kind + '_recall']:.2f} {a[kind + '_f1']:.2f} {n}" for kind in ("macro", "weighted")]
     return "\n".join(lines) + "\n"

@@ -20,8 +20,8 @@ def test_surface(spark):
     assert set(rows) == {"d0", "d1"}
     r = rows["d0"]
     assert (r.sent_len_mean, r.sent_len_median, r.sent_count, r.word_len_median) == (3.5, 3.5, 2, 1)
-    assert r.ttr == 4 / 5 and r.hapax_ratio == 3 / 5 and r.punct_1 == pytest.approx(1000 / 7)
-    assert rows["d1"].word_len_mean == 0 and rows["d1"].ttr == 0
+    assert r.ttr_form == 4 / 5 and r.hapax_ratio == 3 / 5 and r["punct_._per1k"] == pytest.approx(1000 / 7)
+    assert rows["d1"].word_len_mean == 0 and rows["d1"].ttr_form == 0
 
 
 def test_ngrams(spark):
@@ -74,3 +74,45 @@ def test_conllu_round_trip(spark):
     got = read_conllu(sinks.conllu_texts(annotate.as_documents(tokens))).collect()
     assert sorted((r.doc_id, r.sent_id, r.tok_id, r.form, r.lemma, r.upos) for r in got) == want
     assert {r[1] for r in want if r[0] == "d"} == {0, 1, 2, 3} and len(want) > 15
+
+
+def test_udpipe_by_a_stand_in(spark, tmp_path, monkeypatch):
+    """The package is not here; a module of its shape shows what is asked of it and what becomes of its answer."""
+    (tmp_path / "ufal").mkdir()
+    (tmp_path / "ufal" / "__init__.py").write_text("")
+    (tmp_path / "ufal" / "udpipe.py").write_text(
+        """
+class Model:
+    @staticmethod
+    def load(path):
+        return None if path.endswith("bad") else Model()
+
+
+class Pipeline:
+    DEFAULT = ""
+
+    def __init__(self, model, how, tagger, parser, out):
+        assert (how, out) == ("tokenize", "conllu")
+
+    def process(self, text):
+        rows = ["# text", "1-2\\t_\\t_\\t_\\t_\\t_"]
+        rows += [f"{i}\\t{w}\\t{w.lower()}L\\tNOUN\\tN\\tCase=Nom" for i, w in enumerate(text.split(), 1)]
+        return chr(10).join(rows) + chr(10) * 2
+"""
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setitem(spark.sparkContext.environment, "PYTHONPATH", str(tmp_path))
+    for name in ("good", "bad"):
+        (tmp_path / name).write_text("model")
+    df = spark.createDataFrame([("d", "Soud  &nbsp; rozhodl"), ("e", None)], "doc_id string, text string")
+    got = [tuple(r) for r in annotate.annotate_udpipe(df, str(tmp_path / "good")).orderBy("tok_id").collect()]
+    assert got == [("d", 0, 0, "Soud", "soudL", "NOUN", "N", "Case=Nom"), ("d", 0, 1, "rozhodl", "rozhodlL", "NOUN", "N", "Case=Nom")]
+    for name, error in (("none", "FileNotFoundError"), ("bad", "RuntimeError")):
+        with pytest.raises(Exception, match=error):
+            annotate.annotate_udpipe(df, str(tmp_path / name)).collect()
+    # lemmas that are no lower-case forms: both vocabularies count, and function words can be looked for among either
+    t = spark.createDataFrame([("d", 0, 0, "Má", "mít", "VERB"), ("d", 0, 1, "mají", "mít", "VERB")], "doc_id string, sent_id int, tok_id int, form string, lemma string, upos string")
+    r = features.richness(t).first()
+    assert (r.ttr_form, r.ttr_lemma) == (1.0, 0.5)
+    assert [(x.word, x.freq) for x in features.function_word_freq(t, ["mít", "má"]).collect()] == [("mít", 1.0)]
+    assert [(x.word, x.freq) for x in features.function_word_freq(t, ["mít", "má"], use_lemmas=False).collect()] == [("má", 0.5)]

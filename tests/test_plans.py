@@ -72,3 +72,23 @@ def test_summary_is_whole(spark, tmp_path, capsys):
     assert "3 more authors are not shown" in capsys.readouterr().out
     cli.main(["summary", "--corpus", str(tmp_path / "c"), "--min-dissents", "1", "--output", str(tmp_path / "s")])
     assert spark.read.csv(str(tmp_path / "s"), header=True).count() == 1003
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from stylograph import session
+
+    def fake(master, conf):
+        made = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+        frame = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, other: conf.get(k, other))), checkpoint=lambda eager: "done")
+        return frame, made
+
+    for master in ("local-cluster[3,2,1000]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.checkpoint(fake(master, {})[0])
+        frame, made = fake(master, {"spark.checkpoint.dir": "hdfs://x/y"})
+        assert session.checkpoint(frame) == "done" and made == ["hdfs://x/y"]
+    frame, made = fake("local[4]", {})
+    assert session.checkpoint(frame) == "done" and len(made) == 1
