@@ -99,9 +99,16 @@ def p6_ids(spark, d):
     return tokenize.encode(read_texts(spark, d, "documents"))
 
 
+@said("SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def p6_round_trip(spark, d):
+    """The length and digest of each text as its ids give it back."""
+    made = tokenize.decode_texts(tokenize.encode(read_texts(spark, d, "documents")))
+    return made.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @query
 def p6_offsets(spark, d):
-    """doc_id, number of ids, of code points, and the offset of the last id's slice."""
+    """doc_id, number of ids, and the offset of the last id."""
     made = tokenize.encode(read_texts(spark, d, "documents"), offsets=True)
     return made.select("doc_id", F.size("ids").alias("n_ids"), F.try_element_at("offsets", F.lit(-1)).alias("last_offset"))
 

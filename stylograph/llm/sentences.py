@@ -513,17 +513,17 @@ def _learn_for(rows: DataFrame, share: float = SHARE) -> tuple[Lexicon, DataFram
     return _handed_out(words), said.groupBy("field", "doc_id").agg(*[F.collect_set(F.when(F.col(c), F.col("low"))).alias(c) for c in ("common", "short")])
 
 
-def split_sentences(texts: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+def split_sentences(texts: DataFrame, lexicon: Lexicon | None = None, share: float = SHARE) -> DataFrame:
     """field, doc_id, sent_start, sent_end: the units of each record.
 
     ``texts`` has field, doc_id, text; fields that end in ".text" hold HTML, others plain text. Without a lexicon one is learned from
-    ``texts``, with all words, however rare. Repeated rows of one doc_id give their units once. Null and empty texts, and such with nothing visible, have none; rows
+    ``texts``, with all words, however rare; ``share`` only parts those that are handed to all tasks from those that are joined. Repeated rows of one doc_id give their units once. Null and empty texts, and such with nothing visible, have none; rows
     without doc_id are left out.
     """
     rows = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     rows = rows.select("field", F.col("doc_id").cast("string").alias("doc_id"), "text")
     if lexicon is None:
-        lexicon, said = _learn_for(rows)
+        lexicon, said = _learn_for(rows, share)
         rows = rows.join(said, ["field", "doc_id"], "left")
     else:
         rows = rows.select("*", *[F.lit(None).cast("array<string>").alias(c) for c in ("common", "short")])

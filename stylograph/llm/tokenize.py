@@ -147,11 +147,13 @@ class Merger:
                 if line.strip():
                     piece, rank = line.split()
                     self.ranks[base64.b64decode(piece)] = int(rank)
+        self.bytes = {r: p for p, r in self.ranks.items()}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids: list[int] = []
+        self.starts: list[int] = []  # of each id, in code points of its slice
         self.ends: list[int] = [0]
 
     def merge(self, data: bytes) -> list[int]:
@@ -201,13 +203,22 @@ class Merger:
                 k = get(p, -1)
                 if k < 0:
                     k = known[p] = len(self.ends) - 1
-                    self.ids.extend(self.merge(p.encode("utf-8", "surrogatepass")))
+                    self._learn(p)
                     self.ends.append(len(self.ids))
                 out[i] = k
         return np.array(out, np.int64)
 
+    def _learn(self, part: str) -> None:
+        data = part.encode("utf-8", "surrogatepass")
+        made = self.merge(data)
+        self.ids.extend(made)
+        at = 0
+        for i in made:  # an id that begins within a character has the place of that character
+            self.starts.append(at if len(data) == len(part) else sum(b & 0xC0 != 0x80 for b in data[: at + 1]) - 1)
+            at += len(self.bytes[i])
+
     def encode(self, texts: list[str], with_offsets: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """(ids of all texts in a row, number of ids of each text, for each id the offset of its slice in the text)."""
+        """(ids of all texts in a row, number of ids of each text, for each id its offset in the text)."""
         if len(self.known) > CACHE:
             self.clear()
         parts, counts, offsets = slices(texts)
@@ -220,7 +231,7 @@ class Merger:
         ids = np.array(self.ids, np.int32)[at] if total else np.zeros(0, np.int32)
         edge = np.concatenate([[0], np.cumsum(counts)])
         held = np.concatenate([[0], np.cumsum(size)])
-        return ids, held[edge[1:]] - held[edge[:-1]], np.repeat(offsets, size) if with_offsets else None
+        return ids, held[edge[1:]] - held[edge[:-1]], np.repeat(offsets, size) + np.array(self.starts, np.int64)[at] if with_offsets else None
 
 
 _MERGERS: dict[str, Merger] = {}
@@ -234,7 +245,7 @@ def merger(path: str) -> Merger:
 
 
 def encode(df: DataFrame, path: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
-    """doc_id and ids of each row, without special tokens; with offsets also the code point at which each id's slice begins.
+    """doc_id and ids of each row, without special tokens; with offsets also the code point at which each id begins, or in which, where it is a part of one.
 
     Null and empty texts give empty lists. Text that spells a special token is ordinary text. Rows are not grouped: repeated rows,
     and rows without doc_id, stay. Other columns are not read. ``path`` has to be readable on every executor.
@@ -274,8 +285,18 @@ def token_counts(df: DataFrame, keep: list[Column | str], path: str = VOCABULARY
 
 
 def decode(ids: list[int], path: str = VOCABULARY) -> str:
-    """The text of a list of ids."""
-    m = merger(path)
-    if not hasattr(m, "pieces"):
-        m.pieces = {r: p for p, r in m.ranks.items()}
-    return b"".join(m.pieces[i] for i in ids).decode("utf-8", "replace")
+    """The text of a list of ids; bytes that are no character become U+FFFD."""
+    known = merger(path).bytes
+    return b"".join([known[i] for i in ids]).decode("utf-8", "replace")
+
+
+def decode_texts(df: DataFrame, path: str = VOCABULARY, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """doc_id and text of lists of ids. Null and empty lists give ''; rows are not grouped, and other columns are not read."""
+    schema = f"`{doc_id}` {df.schema[doc_id].dataType.simpleString()}, text string"
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = [decode(x or [], path) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[doc_id, "text"])
+
+    return df.select(doc_id, F.col(ids).alias("ids")).mapInArrow(run, schema)

@@ -46,13 +46,29 @@ def test_round_trip(text):
     assert T.decode(ids([text])[0]) == text
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aé ščř法😀1.\n", max_size=20), max_size=4))
+def test_each_id_has_its_place(texts):
+    made, counts, offsets = T.merger(T.VOCABULARY).encode(texts, True)
+    known, at = T.merger(T.VOCABULARY).bytes, 0
+    for t, n in zip(texts, counts):
+        seen = 0
+        for k in range(at, at + n):
+            whole = len(t.encode()[:seen].decode("utf-8", "ignore"))
+            assert offsets[k] == whole
+            seen += len(known[made[k]])
+        at += n
+
+
 def test_operator(spark):
     rows = [(1, "Soud má", "x"), (2, "", "x"), (3, None, "x"), (1, "Soud má", "x"), (None, "a", "x"), (4, "slovo " * 50_000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = T.encode(df, offsets=True).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == 6 and by[2].ids == by[3].ids == [] and T.decode(by[1].ids) == "Soud má"
-    assert by[1].offsets[0] == 0 and max(by[1].offsets) == 4 and len(by[4].ids) >= 50_000
+    assert by[1].offsets[0] == 0 and max(by[1].offsets) == 6 and len(by[4].ids) >= 50_000
+    back = {r.doc_id: r.text for r in T.decode_texts(T.encode(df)).collect()}
+    assert back[1] == "Soud má" and back[2] == back[3] == "" and back[4] == "slovo " * 50_000
     counts = {r.doc_id: r.n_tokens for r in T.token_counts(df, ["doc_id"]).collect()}
     assert counts == {r.doc_id: len(r.ids) for r in got}
     assert T.encode(df.limit(0)).count() == 0
