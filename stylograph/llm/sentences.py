@@ -135,37 +135,54 @@ def asked(masked: str) -> set[str]:
     return out | {unicodedata.normalize("NFKC", w) for w in out if not w.isascii()}
 
 
+def _lettery(c: str) -> bool:
+    """Whether the character is one of which WORD consists."""
+    return c.isalnum() and not c.isdecimal()
+
+
 class Document:
     """What a document says itself of its words, by their unambiguous occurrences; None where it has none or they contradict each other.
 
-    ``masked`` is its masked text; markup and invisible characters part no words, and accents may be characters of their own.
+    ``masked`` is its masked text; markup and invisible characters part no words, and accents may be characters of their own. The first
+    words that are asked for are searched for one by one; of a text that asks for more than that all words are counted, with the same answers.
     """
 
-    #: Words that are looked up one by one before all capitals in mid-sentence are listed.
-    SINGLY = 16
+    #: Searches before all words, and before all capitals in mid-sentence, are listed.
+    SINGLY, NAMES = 64, 16
 
     def __init__(self, masked: str) -> None:
         self.masked = masked
+        self.text: str | None = None
+        self.low = ""
+        self.left = self.SINGLY
         self.n: Counter | None = None
         self.stops: Counter | None = None
         self.names: set[str] | None = None
         self.asked: dict[str, bool] = {}
+        self.told: dict[str, bool | None] = {}
 
-    def _words(self) -> Counter:
-        if self.n is None:
+    def _count(self, word: str, enough: int = 1 << 60) -> int:
+        """Occurrences of the word, as a whole and in this case; counting stops at ``enough``."""
+        if self.text is None:
             self.text = _plain(self.masked)
+        if self.n is None and not self.left:
             self.n = Counter(WORD.findall(self.text))
-        return self.n
+        if self.n is not None:
+            return self.n[word]
+        self.left -= 1
+        t, size, at, n = self.text, len(word), -1, 0
+        while n < enough and (at := t.find(word, at + 1 if at < 0 else at + size)) >= 0:
+            n += not (_lettery(t[at + size : at + size + 1]) or at and _lettery(t[at - 1]))
+        return n
 
     def common(self, word: str) -> bool | None:
         """True: it stands in lower case. False: it has its capital in mid-sentence, and is never in lower case."""
         word = unicodedata.normalize("NFC", word)
-        words = self._words()
-        if word.lower() in words:
+        if self._count(word.lower(), 1):
             return True
-        if words[word] < 2:
+        if self._count(word, 2) < 2:
             return None  # nowhere but where it is asked of
-        if word not in self.asked and len(self.asked) < self.SINGLY:
+        if word not in self.asked and len(self.asked) < self.NAMES:
             self.asked[word] = self._named(word)
         if word in self.asked:
             return False if self.asked[word] else None
@@ -192,20 +209,37 @@ class Document:
     def short(self, word: str) -> bool | None:
         """True: sentences go on after its stop, and it has a stop as often as not. False: they never do, and it mostly has no stop."""
         word = unicodedata.normalize("NFC", word)
-        low, words = word.lower(), self._words()
+        if word not in self.told:
+            low = word.lower()
+            n = sum(self._count(w) for w in {low, word, low.capitalize(), low.upper()})
+            stops, goes_on = self._stopped(low)
+            self.told[word] = True if goes_on and goes_on >= 0.3 * stops and 2 * stops >= n else False if not goes_on and n > 2 * stops else None
+        return self.told[word]
+
+    def _stopped(self, low: str) -> tuple[int, int]:
+        """How often the word stands before a stop, in any case, and how often the sentence then goes on."""
+        t = self.text
+        if self.stops is None and self.left:
+            self.low = self.low or t.lower()
+            if len(self.low) == len(t):
+                self.left -= 1
+                size, at, stops, goes_on = len(low), -1, 0, 0
+                while (at := self.low.find(low + ".", at + 1 if at < 0 else at + size)) >= 0:
+                    if not (at and _lettery(t[at - 1])):
+                        stops += 1
+                        goes_on += self._goes_on_from(at + size + 1)
+                return stops, goes_on
         if self.stops is None:
             self.stops, self.goes_on = Counter(), Counter()
-            t = self.text
             for x in DOTTED.finditer(t[::-1]):
                 w = x.group(1)[::-1].lower()
                 self.stops[w] += 1
-                tail = GOING.match(t, len(t) - x.start())
-                if tail and (tail.group(1) is None or tail.group(1).islower()):
-                    self.goes_on[w] += 1
-        n, stops, goes_on = sum(words[w] for w in {low, word, low.capitalize(), low.upper()}), self.stops[low], self.goes_on[low]
-        if goes_on and goes_on >= 0.3 * stops and 2 * stops >= n:
-            return True
-        return False if not goes_on and n > 2 * stops else None
+                self.goes_on[w] += self._goes_on_from(len(t) - x.start())
+        return self.stops[low], self.goes_on[low]
+
+    def _goes_on_from(self, at: int) -> bool:
+        tail = GOING.match(self.text, at)
+        return tail is not None and (tail.group(1) is None or tail.group(1).islower())
 
 
 def _blank(c: str) -> bool:

@@ -114,6 +114,16 @@ def test_how_words_reach_the_tasks_changes_nothing(spark, data):
     assert made[0] == made[1] == made[2] and len(made[0]) > 1000
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aAbBčČ²1İΣσ., ()", max_size=40), st.lists(st.text(alphabet="aAbBčČ²İΣσ", min_size=1, max_size=2), max_size=5))
+def test_searching_one_by_one_and_counting_all_are_the_same(text, words):
+    one, all_ = S.Document(text), S.Document(text)
+    all_.left = 0
+    for w in words:
+        assert one._count(w) == all_._count(w), w
+        assert one.common(w) == all_.common(w) and one.short(w) == all_.short(w), w
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aAbBč̌Ž1.!?…„“\"() \n<>/p&;ａ\u200b", max_size=40), st.booleans())
 def test_all_words_that_are_looked_up_are_asked_for(text, html):
