@@ -162,7 +162,9 @@ class Document:
         self.told: dict[str, bool | None] = {}
 
     def _count(self, word: str, enough: int = 1 << 60) -> int:
-        """Occurrences of the word, as a whole and in this case; counting stops at ``enough``."""
+        """Occurrences of the word, as a whole and in this case; counting stops at ``enough``. What is no WORD, as nothing before a sign, has none."""
+        if not WORD.fullmatch(word):
+            return 0
         if self.text is None:
             self.text = _plain(self.masked)
         if self.n is None and not self.left:
@@ -209,6 +211,8 @@ class Document:
     def short(self, word: str) -> bool | None:
         """True: sentences go on after its stop, and it has a stop as often as not. False: they never do, and it mostly has no stop."""
         word = unicodedata.normalize("NFC", word)
+        if not WORD.fullmatch(word):
+            return None
         if word not in self.told:
             low = word.lower()
             n = sum(self._count(w) for w in {low, word, low.capitalize(), low.upper()})

@@ -1,4 +1,5 @@
 import re
+import signal
 
 import pytest
 from hypothesis import given, settings
@@ -124,6 +125,37 @@ def test_searching_one_by_one_and_counting_all_are_the_same(text, words):
         assert one.common(w) == all_.common(w) and one.short(w) == all_.short(w), w
 
 
+@pytest.fixture
+def ten_seconds():
+    """Ends a test that goes on for ever."""
+
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(10)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
+
+
+def test_a_sign_behind_a_stop_is_no_word(ten_seconds):
+    for text in ("Soud má věc. § 5 platí.", "Dle odst. 1. § 5 zák. platí.", "Soud má věc.(Další věc.)", "Dle čl. § 7 soud."):
+        units = SPLIT.split(text)
+        assert units[0][0] == 0 and units[-1][1] == len(text)
+    assert [t.strip() for t in ("Soud má věc. § 5 platí."[a:b] for a, b in SPLIT.split("Soud má věc. § 5 platí."))] == ["Soud má věc.", "§ 5 platí."]
+    assert [len(SPLIT.split(t)) for t in ("Dle zák. § 7 soud.", "Věc č. 1. § 5 platí.")] == [1, 1]
+
+
+@pytest.mark.parametrize("word", ["", "q̌", "1a", "Q̌a"])
+def test_what_is_no_word_is_not_asked_about(ten_seconds, word):
+    text = "Dle q̌., 1a., q̌., a 1a. Q̌a byl q̌a. Pan Q̌a a pan Q̌a."
+    one, all_ = S.Document(text), S.Document(text)
+    all_.left = 0
+    assert one._count(word) == all_._count(word) == 0
+    assert one.common(word) is all_.common(word) is None and one.short(word) is all_.short(word) is None
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aAbBč̌Ž1.!?…„“\"() \n<>/p&;ａ\u200b", max_size=40), st.booleans())
 def test_all_words_that_are_looked_up_are_asked_for(text, html):
