@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 
 import pytest
@@ -30,3 +31,17 @@ def data():
     if not os.path.isdir(folder):
         pytest.skip("no test data here")
     return folder
+
+
+@pytest.fixture
+def ten_seconds():
+    """Ends a test that goes on for ever."""
+
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(10)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)

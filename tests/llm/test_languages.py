@@ -58,6 +58,12 @@ def test_operator(spark, samples):
     assert L.wrong_or_mixed(df.limit(0), model).count() == 0
 
 
+def test_texts_with_signs_behind_stops_end(samples, ten_seconds):
+    cs = next(t for lang, t in samples if lang == "cs")
+    got = L.Labeller(L.Model(samples, calibrate=False)).label([f"Soud rozhodl podle čl. § 5 zákona. § 7 platí. {cs}", "Soud má věc.(Další věc je zde.)"])
+    assert [[(a, lang) for a, _, lang, _ in g] for g in got] == [[(0, "cs")], [(0, "cs")]]
+
+
 def test_words_inside_a_sentence_make_no_stretch(samples):
     cs = next(t for lang, t in samples if lang == "cs")
     got = L.Labeller(L.Model(samples)).label([f"Soud uvedl, že „the court held. Was it not?“ má být posouzeno jako návrh stěžovatele. {cs}"])

@@ -1,5 +1,4 @@
 import re
-import signal
 
 import pytest
 from hypothesis import given, settings
@@ -125,20 +124,6 @@ def test_searching_one_by_one_and_counting_all_are_the_same(text, words):
         assert one.common(w) == all_.common(w) and one.short(w) == all_.short(w), w
 
 
-@pytest.fixture
-def ten_seconds():
-    """Ends a test that goes on for ever."""
-
-    def stop(*_):
-        raise TimeoutError
-
-    before = signal.signal(signal.SIGALRM, stop)
-    signal.alarm(10)
-    yield
-    signal.alarm(0)
-    signal.signal(signal.SIGALRM, before)
-
-
 def test_a_sign_behind_a_stop_is_no_word(ten_seconds):
     for text in ("Soud má věc. § 5 platí.", "Dle odst. 1. § 5 zák. platí.", "Soud má věc.(Další věc.)", "Dle čl. § 7 soud."):
         units = SPLIT.split(text)
