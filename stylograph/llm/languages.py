@@ -9,12 +9,17 @@ A stretch's confidence is the posterior of its language under the mixture of the
 likelihoods are divided by a temperature that grows with their number; it is fitted to pieces of samples that the model has not seen. A
 logistic rule, fitted to the same pieces and to those read without their own language's model, tells how likely it is that
 none of the languages fits; where that is sure the language is UNKNOWN.
+
+Most texts have one language only, whichever of their stops end sentences. Where no confidence is asked for, that is proved from the
+pieces between all places where a sentence may end, and only the other texts are split into sentences.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stylograph.llm.sentences import Splitter, lexicon_of
+from stylograph.llm.batches import pieces
+from stylograph.llm.sentences import ALWAYS, OPENERS, Splitter, lexicon_of, masked
 
 WORDS = re.compile(r"(?:[^\W\d_]+[\x00̀-ͯ]*)+")
 #: Samples used at most for each language, in the order of their hash.
@@ -36,6 +42,8 @@ UNKNOWN = "und"
 SIZES, PIECES = (1, 2, 4, 8, 16, 32, 64), 4
 #: Most words remembered by a worker.
 CACHE = 300_000
+#: How far a language has to be ahead in each piece of a text to be that of all its sentences: two forms count at most log 2 more than the better.
+AHEAD = math.log(2) + 1e-6
 
 
 @dataclass(frozen=True)
@@ -239,13 +247,92 @@ class Numbers(dict):
     """Word to its row in the table of likelihoods; makes the row when the word is first met."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.rows = model, []
+        self.model, self.table = model, np.empty((1024, 2 * len(model.langs)))
 
     def __missing__(self, w: str) -> int:
-        k = self[w] = len(self.rows)
-        self.rows.append(self.model.word(w).astype(np.float32))
+        k = len(self)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[k] = self.model.word(w).astype(np.float32)
+        self[w] = k
         return k
 
+    def sums(self, numbers: list[int], edge: np.ndarray) -> np.ndarray:
+        """The sums of the rows of the words from each edge to the next."""
+        out = np.empty((len(edge) - 1, self.table.shape[1]))
+        numbers = np.array(numbers, np.int64)
+        step = 500
+        for at in range(0, len(out), step):
+            part = slice(at, min(len(out), at + step))
+            lo, hi = edge[part.start], edge[part.stop]
+            out[part] = np.add.reduceat(self.table[numbers[lo:hi]], edge[part] - lo, axis=0)
+        return out
+
+
+# Bits of what a code point is. GAP: what a sentence's opening is looked for behind.
+LETTER, MARK, END, LOWER, BLANK, DIGIT, GAP, SPACELESS = (1 << k for k in range(8))
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The bits of each code point."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for i, c in enumerate(map(chr, range(sys.maxunicode + 1))):
+        if c.isalnum():
+            out[i] = (0 if c.isdecimal() else LETTER) | (LOWER if c.islower() else 0) | (DIGIT if c.isdigit() else 0) | (SPACELESS if UNSPACED.match(c) else 0)
+        else:
+            out[i] = (BLANK | GAP if c.isspace() else 0) | (LOWER if c.islower() else 0) | (SPACELESS if UNSPACED.match(c) else 0)
+    out[0] |= MARK | BLANK | GAP
+    out[0x300:0x370] |= MARK
+    for bit, chars in ((GAP, OPENERS), (END, ".!?…‥؟۔．？！" + ALWAYS)):
+        out[list(map(ord, chars))] |= bit
+    return out
+
+
+class Shown:
+    """The words of masked texts, all at once."""
+
+    def __init__(self, texts: list[str]) -> None:
+        joined = "\1".join(texts) + "\1"
+        self.code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.kind = _kinds()[self.code]
+        self.begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.kept = (self.kind & LETTER) > 0
+        mark = (self.kind & MARK) > 0
+        if mark.any():  # marks stay behind letters
+            self.kept = self.kept[np.maximum.accumulate(np.where(mark, 0, np.arange(len(mark))))]
+        #: Texts of which some words are single characters; they show none.
+        self.spaceless = np.logical_or.reduceat((self.kind & SPACELESS) > 0, self.begin[:-1])
+        self.kept &= ~np.repeat(self.spaceless, np.diff(self.begin))
+        self.only = np.where(self.kept, self.code, 32).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+
+    def words(self, k: int, a: int, b: int) -> list[str]:
+        """The words of that stretch of text number k, as ``words_of`` finds them."""
+        return self.only[self.begin[k] + a : self.begin[k] + b].split()
+
+    def ends(self) -> np.ndarray:
+        """Places behind which a sentence or block may end, in order: all where one does and others, but for texts with words without spaces."""
+        code, kind = self.code, self.kind
+        has = lambda bit: (kind & bit) > 0
+        behind = np.append(kind[1:], 0)
+        always = np.isin(code, list(map(ord, ALWAYS)))
+        stop = np.flatnonzero(has(END) & ((behind & END) == 0) & ~always)
+        solid = np.flatnonzero(~has(GAP))
+        after = kind[solid[np.minimum(np.searchsorted(solid, stop, "right"), len(solid) - 1)]]
+        close = behind[stop]
+        before = lambda n: kind[np.maximum(stop - n, 0)]
+        lone = (code[stop] == ord(".")) & ((before(1) & END) == 0)
+        single = ((before(1) & (LETTER | DIGIT)) > 0) & ((before(2) & (LETTER | DIGIT | MARK)) == 0) & (stop > 1)
+        number = lone & ((close & DIGIT) > 0)
+        number |= lone & ((close & BLANK) > 0) & (code[np.minimum(stop + 1, len(code) - 1)] != 0) & ((after & DIGIT) > 0) & (((before(1) & DIGIT) > 0) | single)
+        goes_on = ((after & LOWER) > 0) | number | np.isin(code[np.minimum(stop + 1, len(code) - 1)], [44, 58, 59])
+        found = [stop[~goes_on], np.flatnonzero(always | (code == 1))]
+        solid_so_far = np.cumsum(~has(BLANK))
+        for c in (10, 13):  # blank lines
+            line = np.flatnonzero(code == c)
+            found.append(line[:-1][solid_so_far[line[:-1]] == solid_so_far[line[1:]]])
+        return np.sort(np.concatenate(found))
+
 
 def fit(samples: DataFrame, settings: Settings = Settings()) -> Model:
     """The model of labelled samples (lang, text), of which at most MAX_SAMPLES a language are taken: the bound of what the driver reads."""
@@ -265,7 +352,7 @@ def mixture(ll: np.ndarray, langs: list[int], rounds: int) -> tuple[float, np.nd
     for _ in range(rounds if len(langs) > 1 else 0):
         resp = p * share
         resp /= resp.sum(1, keepdims=True)
-        share = np.maximum(resp.mean(0), 1e-6)
+        share = np.maximum(resp.sum(0) / len(resp), 1e-6)
         share /= share.sum()
     return float((np.log(p @ share) + top[:, 0]).sum()), share
 
@@ -313,38 +400,100 @@ class Labeller:
         self.splitter = Splitter(model.lexicon)
         self.known = Numbers(model)
 
-    def label(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
-        """For each text its stretches (begin, end, language, confidence); none for a text without letters."""
+    def label(self, texts: list[str], confidence: bool = True) -> list[list[tuple[int, int, str, float | None]]]:
+        """For each text its stretches (begin, end, language, confidence); none for a text without letters. Without ``confidence`` that
+        of some is None; all else is the same."""
+        return [x for a, b in pieces(texts) for x in self._label(texts[a:b], confidence)]
+
+    def _label(self, texts: list[str], confidence: bool) -> list[list[tuple[int, int, str, float | None]]]:
         if len(self.known) > CACHE:
             self.known = Numbers(self.model)
+        hidden = [masked(t, True) for t in texts]
+        shown = Shown(hidden)
+        out = {} if confidence else self._proved(texts, hidden, shown)
         units: list[list[tuple[int, int]]] = []
         numbers: list[int] = []
         sizes: list[int] = []
         letters: list[int] = []
         known = self.known
-        for t in texts:
+        rest = [k for k in range(len(texts)) if k not in out]
+        for k in rest:
             own = []
-            for a, b in self.splitter.split(t, True):
-                found = words_of(self.splitter.text[a:b])
+            for a, b in self.splitter.split(texts[k], True):
+                found = words_of(self.splitter.text[a:b]) if shown.spaceless[k] else shown.words(k, a, b)
                 if found:
                     own.append((a, b))
                     numbers += [known[w] for w in found]
                     sizes.append(len(found))
                     letters.append(len("".join(found)))
             units.append(own)
-        if not numbers:
-            return [[] for _ in texts]
-        table = np.array(known.rows, np.float32)
-        n = len(self.model.langs)
-        edge = np.concatenate([[0], np.cumsum(sizes)])
-        both = np.empty((len(sizes), 2 * n))
-        step = 50_000
-        for at in range(0, len(sizes), step):
-            part = slice(at, min(len(sizes), at + step))
-            lo, hi = edge[part.start], edge[part.stop]
-            both[part] = np.add.reduceat(table[numbers[lo:hi]], edge[part] - lo, axis=0, dtype=np.float64)
-        ends = np.concatenate([[0], np.cumsum([len(u) for u in units])])
-        return [self._stretches(len(t), u, both[a:b], n, sizes[a:b], letters[a:b]) for t, u, a, b in zip(texts, units, ends[:-1], ends[1:], strict=True)]
+        both = known.sums(numbers, np.cumsum([0, *sizes]))
+        ends = np.cumsum([0, *map(len, units)])
+        for k, u, a, b in zip(rest, units, ends[:-1], ends[1:], strict=True):
+            out[k] = self._stretches(len(texts[k]), u, both[a:b], len(self.model.langs), sizes[a:b], letters[a:b])
+        return [out[k] for k in range(len(texts))]
+
+    def _proved(self, texts: list[str], hidden: list[str], shown: Shown) -> dict[int, list[tuple[int, int, str, None]]]:
+        """The stretches of those texts that have one language, however the places where a sentence may end are decided.
+
+        A sentence is made of whole pieces. If in each piece one form of a language is ahead of both forms of every other one by log 2
+        at least, it is so in each sentence, and the likelihoods of two forms together exceed the better one's by log 2 at most.
+        Pieces where it is not are joined to those beside them if the splitter says of the stop between that the sentence goes on.
+        The likelihood of the whole lies between that of the better form throughout and the sum over the pieces.
+        """
+        langs, n = self.model.langs, len(self.model.langs)
+        word = np.flatnonzero(shown.kept & ~np.append(False, shown.kept[:-1]))
+        ends = shown.ends()
+        piece = np.searchsorted(ends, word)
+        first = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])[: len(word)])
+        both = self.known.sums([self.known[w] for w in shown.only.split()], np.append(first, len(word)))
+        at = np.searchsorted(word[first], shown.begin)  # pieces before each text
+        inside = np.append(0, np.cumsum(shown.kept & (shown.code == 0)))[shown.begin]
+        letters = np.diff(np.append(0, np.cumsum(shown.kept))[shown.begin])
+        sure = ~shown.spaceless & (inside[1:] == inside[:-1])
+        out: dict[int, list] = {int(k): [] for k in np.flatnonzero(sure & (at[1:] == at[:-1]))}
+        some = np.flatnonzero(at[1:] > at[:-1])
+        if not len(some):
+            return out
+        form = np.add.reduceat(both, at[some]).argmax(1)
+        each = np.repeat(form, np.diff(at)[some])
+        low = np.logical_or.reduceat(self._ahead(both, each) < AHEAD, at[some])
+        rows = np.arange(len(both))
+        least = np.add.reduceat(both[rows, each], at[some]) - 1e-6
+        most = np.add.reduceat(np.logaddexp(both[rows, each % n], both[rows, n + each % n]), at[some]) + 1e-6
+        for k, f, behind, bounds in zip(some.tolist(), form.tolist(), low.tolist(), zip(least.tolist(), most.tolist()), strict=True):
+            part = slice(at[k], at[k + 1])
+            if sure[k] and not (behind and not self._joins(both[part], f, hidden[k], int(shown.begin[k]), ends, piece[first[part]])):
+                strange = [self.model.foreign(langs[f % n], x, int(letters[k])) > self.model.s.unknown for x in bounds]
+                if strange[0] == strange[1]:
+                    out[k] = [(0, len(texts[k]), UNKNOWN if strange[0] else langs[f % n], None)]
+        return out
+
+    @staticmethod
+    def _ahead(part: np.ndarray, form: np.ndarray | int) -> np.ndarray:
+        """How far a form of a language, of each piece or of all, is ahead of both of every other language in each piece."""
+        n, rows = part.shape[1] // 2, np.arange(len(part))
+        others = np.maximum(part[:, :n], part[:, n:])
+        others[rows, form % n] = -np.inf
+        return part[rows, form] - others.max(1)
+
+    def _joins(self, part: np.ndarray, form: int, text: str, begin: int, ends: np.ndarray, piece: np.ndarray) -> bool:
+        """Whether the pieces of a text can be joined so that the form is ahead in all. ``begin``: where it begins in what
+        ``ends`` counts; ``piece``: how many of the ends are before each piece."""
+        self.splitter.begin(text)
+        parted = np.ones(len(part) + 1, bool)  # whether each piece is parted from the one before
+        asked = {0, len(part)}
+        while True:
+            starts = np.flatnonzero(parted[:-1])
+            low = np.flatnonzero(self._ahead(np.add.reduceat(part, starts), form) < AHEAD)
+            if not len(low):
+                return True
+            stops = np.append(starts[1:], len(part))
+            for e in {int(x) for i in low for x in (starts[i], stops[i])} - asked:
+                asked.add(e)
+                parted[e] = not all(self.splitter.goes_on(x - begin) for x in ends[piece[e - 1] : piece[e]].tolist())
+            if any(parted[starts[i]] and parted[stops[i]] for i in low):
+                return False
 
     def _stretches(self, length: int, units: list[tuple[int, int]], both: np.ndarray, n: int, sizes: list[int], letters: list[int]) -> list[tuple[int, int, str, float]]:
         if not units:
@@ -381,11 +530,12 @@ class Labeller:
         return self.model.langs[own], self.model.posterior(total, n_words, own, prior) * (1 - strange)
 
 
-def segments(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def segments(docs: DataFrame, model: Model, keep: list[str], confidence: bool = True) -> DataFrame:
     """The columns ``keep`` and seg_start, seg_end, lang, confidence: the stretches of each text.
 
     Null, empty and letterless texts give no row; repeated rows stay. Stretches are whole sentences and cover the text: the first begins
     at 0, others at their first sentence. Columns of ``docs`` that are not kept are not read; those kept may not have these names.
+    Without ``confidence`` that of some is null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.where(F.col("text").isNotNull() & (F.col("text") != "")).select(*keep, F.col("text").cast("string").alias("text"))
@@ -395,7 +545,7 @@ def segments(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         labeller = Labeller(shared.value)
         for batch in it:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            made = [x for at in range(0, len(texts), 500) for x in labeller.label(texts[at : at + 500])]
+            made = labeller.label(texts, confidence)
             take = pa.array([i for i, m in enumerate(made) for _ in m], pa.int64())
             flat = [x for m in made for x in m]
             columns = [pa.array([x[j] for x in flat], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.float64()))]
@@ -409,7 +559,7 @@ def wrong_or_mixed(docs: DataFrame, model: Model, label: str = "lang") -> DataFr
 
     A label is right only if it is exactly the language's code. Each text is judged in its row; nothing is shuffled.
     """
-    made = segments(docs.select("doc_id", F.col(label).alias("label"), F.length("text").alias("size"), "text"), model, ["doc_id", "label", "size"])
+    made = segments(docs.select("doc_id", F.col(label).alias("label"), F.length("text").alias("size"), "text"), model, ["doc_id", "label", "size"], confidence=False)
     mixed = (F.col("seg_start") > 0) | (F.col("seg_end") < F.col("size"))
     return made.where(mixed | ~F.col("label").eqNullSafe(F.col("lang"))).select("doc_id", "seg_start", "lang")
 

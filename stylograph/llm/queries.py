@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stylograph.llm import languages, lookalike, mixing, sentences, shared_spans, tokenize
 from stylograph.llm.batches import court_texts
+from stylograph.session import evened
 from stylograph.sources.tables import read_table, read_texts
 
 QUERIES: dict = {}
@@ -135,6 +136,10 @@ def p7_deviation(spark, d):
     return mixing.deviations(mixing.mix_sized(made, targets), mixing.layout_of(made, targets))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return evened(read_table(spark, d, "documents"), "doc_id", "text")
+
+
 def _languages(spark: SparkSession, d: str) -> languages.Model:
     return languages.fit(read_table(spark, d, "lang_samples"))
 
@@ -142,16 +147,16 @@ def _languages(spark: SparkSession, d: str) -> languages.Model:
 @query
 def p8_found(spark, d):
     """doc_id, seg_start, lang of the stretches of texts with a wrong label or several languages."""
-    return languages.wrong_or_mixed(read_texts(spark, d, "documents"), _languages(spark, d))
+    return languages.wrong_or_mixed(_documents(spark, d), _languages(spark, d))
 
 
 @query
 def p8_segments(spark, d):
     """Every stretch of every text with its language and confidence."""
-    return languages.segments(read_texts(spark, d, "documents").select("doc_id", "text"), _languages(spark, d), ["doc_id"])
+    return languages.segments(_documents(spark, d).select("doc_id", "text"), _languages(spark, d), ["doc_id"])
 
 
 @query
 def p8_labels(spark, d):
     """The main language of each text."""
-    return languages.document_labels(read_texts(spark, d, "documents"), _languages(spark, d))
+    return languages.document_labels(_documents(spark, d), _languages(spark, d))

@@ -443,6 +443,19 @@ class Splitter:
         low = low if low.isascii() else unicodedata.normalize("NFKC", low)
         return low in words or low in rare
 
+    def begin(self, masked: str) -> None:
+        """Makes this masked text the one that ``goes_on`` is asked about."""
+        self.own, self.text, self.rare = Document(masked), masked, Lexicon()
+
+    def goes_on(self, at: int) -> bool:
+        """Whether the sign at this place is a single period with no closing mark behind it that ends no unit, whatever quotations and
+        brackets it stands in. Of others, and of one that may end a unit, False. Units that end for other reasons are not looked at."""
+        m = self.text
+        if m[at] != "." or m[at + 1 : at + 2] in CLOSERS or STOP.match(m[at + 1 : at + 2]) or at and STOP.match(m[at - 1]):
+            return False
+        gap, behind = self._next(m, at + 1, len(m))
+        return behind < len(m) and not self._period_ends(m, at, gap, behind, len(m), self._opens(m, behind, len(m)))
+
     def split(self, text: str, html: bool = False, rare: Lexicon = Lexicon()) -> list[tuple[int, int]]:
         """Units of a text as (begin, end); offsets in the text as stored. ``rare``: what the corpus says besides of words of this text."""
         self.source, self.rare = text, rare

@@ -1,8 +1,11 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from stylograph.llm import languages as L
+from stylograph.session import evened
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +107,74 @@ def test_languages_that_no_sample_has_are_unknown(held_out):
     known = [t for ts in test.values() for t in ts]
     assert not any(s[2] == L.UNKNOWN for g in L.Labeller(model).label(known) for s in g)
     assert L.Model([("a", "slovo")]).foreign("a", -1.0, 5) == 0.0  # too few samples to tell
+
+
+PARTS = st.lists(st.sampled_from(["soud", "Soud", "č", "JUDr", "I", "The court", "Листина", "法院", "ก", "5", "12", "§", "a\u030c", "\u0301", ".", ".", ". ", "..", "… ", "!", "?! ", "।", "。", " ", " ", "\n", "\r\n", "\n \n", "\0", "\xad", "„", "“", '"', "(", ") ", "[", "]", ",", ":", "- ", "</b>", "<b>", "<p>", "&nbsp;", "&lt;"]), max_size=25).map("".join)
+
+
+@given(st.lists(PARTS, min_size=1, max_size=4))
+@settings(max_examples=500, deadline=None)
+def test_units_end_at_possible_ends_only(texts):
+    splitter = L.Splitter(L.lexicon_of(["soud the court. Soud č. 5, JUDr. Soud č. soud."]))
+    shown = L.Shown([L.masked(t, True) for t in texts])
+    ends = shown.ends()
+    for k, t in enumerate(texts):
+        units = splitter.split(t, True)
+        m = splitter.text
+        if shown.spaceless[k]:
+            continue
+        words = [shown.words(k, a, b) for a, b in units]
+        assert words == [L.words_of(m[a:b]) for a, b in units]
+        assert sum(words, []) == L.words_of(m) == shown.words(k, 0, len(m))
+        own = [int(e - shown.begin[k]) for e in ends if shown.begin[k] <= e < shown.begin[k + 1] - 1]
+        splitter.begin(m)
+        own = [e for e in own if not splitter.goes_on(e)]
+        spoken = [u for u, w in zip(units, words) if w]
+        for (a, b), (c, d) in zip(spoken, spoken[1:]):
+            last = max(i for i in range(a, b) if m[i].isalnum() and not m[i].isdecimal())
+            first = min(i for i in range(c, d) if m[i].isalnum() and not m[i].isdecimal())
+            assert any(last < e < first for e in own), (t, (a, b), (c, d))
+
+
+def test_stretches_are_the_same_without_confidence(held_out):
+    model, test = held_out
+    rng = random.Random(7)
+    pool = [t for ts in test.values() for t in ts] + ["Perustuslakituomioistuin katsoo.", "123", "", "sp. zn. II. ÚS 72/13", "<p>Soud</p> so\xadud", "法院认为。本院的"]
+    texts = [rng.choice([" ", "\n\n", ". "]).join(rng.choices(pool, k=rng.choice([1, 1, 2, 3]))) for _ in range(400)]
+    texts += [" ".join([t, t.upper(), "JUDr. A. B. Novák.", t]) for t in pool]
+    got = L.Labeller(model).label(texts, confidence=False)
+    assert [[x[:3] for x in g] for g in got] == [[x[:3] for x in g] for g in L.Labeller(model).label(texts)]
+
+
+def test_texts_of_one_language_are_not_split(samples):
+    cs = " ".join(t for lang, t in samples if lang == "cs")
+    labeller = L.Labeller(L.Model(samples, calibrate=False))
+    assert [(a, b, lang) for a, b, lang, _ in labeller.label([cs])[0]] == [(0, len(cs), "cs")]
+    labeller.splitter.split = None  # cannot be called
+    assert labeller.label([cs, "123"], confidence=False) == [[(0, len(cs), "cs", None)], []]
+
+
+def test_words_are_kept_in_one_table(samples):
+    known = L.Numbers(L.Model(samples, calibrate=False))
+    words = [f"slovo{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2500)]
+    assert [known[w] for w in words + words] == 2 * list(range(2500))
+    want = sum(known.model.word(w).astype("float32").astype(float) for w in words[:3])
+    assert abs(known.sums([0, 1, 2, 7], L.np.array([0, 3, 4]))[0] - want).max() < 1e-9
+
+
+def test_one_large_row_group_is_read_by_all_tasks(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    table = pa.table({"doc_id": list(range(4000)), "text": [f"{rng.random()} slovo" for _ in range(4000)]})
+    pq.write_table(table, tmp_path / "t.parquet", row_group_size=4000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = spark.read.parquet(str(tmp_path / "t.parquet"))
+        assert df.rdd.getNumPartitions() >= 4
+        counts = [r["count"] for r in evened(df, "doc_id", "text").groupBy(L.F.spark_partition_id()).count().collect()]
+        assert sum(counts) == 4000 and max(counts) < 1500
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
